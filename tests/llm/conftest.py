@@ -14,3 +14,8 @@ def make(spark):
         return df
 
     return build
+
+
+@pytest.fixture(scope="session")
+def sf01():
+    return "/root/testdata/sf0.01"
