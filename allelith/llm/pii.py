@@ -162,7 +162,7 @@ def fit_candidates(docs: DataFrame, sample_docs: int, sample_rows: int, seed: in
         _candidates(few).select("doc_id", F.explode_outer("cands").alias("c")).where("c is not null").select(F.xxhash64(F.lit(seed), "doc_id", "c.s", "c.k").alias("r"), "c.f", "c.covers")
         .orderBy("r").limit(sample_rows).collect()
     )
-    x = np.array([r.f for r in rows], float).reshape(len(rows), -1)
+    x = np.array([r.f for r in rows], float).reshape(len(rows), len(rows[0].f) if rows else 0)
     return boost.fit(x, np.array([r.covers for r in rows], float), np.array([r.r % 4 == 0 for r in rows], bool))
 
 

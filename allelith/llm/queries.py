@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, table
 from .pii import find_pii
+from .quality import quality
 from .secrets import find_secrets
 from .sharding import uniform_shards
+from .toxicity import toxicity
 
 
 def op2_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +22,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir))
 
 
+def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op6_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_uniform_shards": op2_uniform_shards,
+    "op3_quality_machine": op3_quality_machine,
+    "op6_toxic_severity": op6_toxic_severity,
     "op9_pii_spans": op9_pii_spans,
     "op10_secret_scan": op10_secret_scan,
 }
