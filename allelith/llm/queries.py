@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, table
+from .decontamination import contaminated
 from .pii import find_pii
 from .quality import quality
 from .secrets import find_secrets
@@ -26,6 +27,10 @@ def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -37,6 +42,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_uniform_shards": op2_uniform_shards,
     "op3_quality_machine": op3_quality_machine,
+    "op5_benchmark_regions": op5_benchmark_regions,
     "op6_toxic_severity": op6_toxic_severity,
     "op9_pii_spans": op9_pii_spans,
     "op10_secret_scan": op10_secret_scan,
