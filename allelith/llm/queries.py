@@ -11,6 +11,7 @@ from .decontamination import contaminated
 from .pii import find_pii
 from .quality import quality
 from .secrets import find_secrets
+from .sentencepieces import encode_decode
 from .sharding import uniform_shards
 from .toxicity import toxicity
 
@@ -27,6 +28,10 @@ def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir))
+
+
 def op5_benchmark_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +47,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_uniform_shards": op2_uniform_shards,
     "op3_quality_machine": op3_quality_machine,
+    "op4_piece_codec": op4_piece_codec,
     "op5_benchmark_regions": op5_benchmark_regions,
     "op6_toxic_severity": op6_toxic_severity,
     "op9_pii_spans": op9_pii_spans,
