@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import cut, id_text
 from .wordfeatures import WORD, collected, csr, labelled_sample
 
 DIMS = 1 << 18
@@ -147,13 +147,29 @@ class Scorer:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ordinal:
+    """Which features take part is decided where the sample's features are; the driver gets those alone."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [distinct_buckets(t or "") for t in b["text"]]})
-
-    got = collected(labelled_sample(docs, labels, "toxic", sample_rows).mapInPandas(run, "doc_id long, y int, x array<long>"))
-    held = np.array([hash_of(i) % 4 == 0 for i in got["doc_id"]], bool)
-    return fit([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(np.int64), held)
+            for i in range(0, len(b), 256):
+                part = b.iloc[i : i + 256]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [distinct_buckets(t or "").astype(np.int32) for t in part["text"]]})
+
+    found = cut(labelled_sample(docs, labels, "toxic", sample_rows).mapInPandas(run, "doc_id long, y int, x array<int>"))
+    found = found.withColumn("held", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) == 0)
+    totals = {r.y: r.n for r in found.where("not held").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    if not (n0 and n1):
+        return fit([], np.zeros(0), np.zeros(0))
+    mean = F.col("n") / (n0 + n1)
+    chosen = (
+        found.where("not held").select("y", F.explode("x").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
+        .where((F.col("n") >= LEAST_ROWS) & (F.abs(F.col("bad") / n1 - (F.col("n") - F.col("bad")) / n0) >= LEAST_Z * F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))))
+    )
+    # at most DIMS buckets, whatever the sample
+    kept = F.array_intersect("x", F.lit(sorted(r.b for r in chosen.select("b").collect())).cast("array<int>"))
+    got = collected(found.select("doc_id", "y", "held", kept.alias("x")))
+    return fit([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(np.int64), got["held"].to_numpy(bool))
 
 
 def hash_of(i: int) -> int:
