@@ -50,12 +50,11 @@ def test_agrees_with_the_library_search_over_the_same_pieces(spark, sf):
     lib = sentencepiece.SentencePieceProcessor(model_proto=proto.replace(b"\x18\x02 \x80\xfa\x01", b"\x18\x01 \x80\xfa\x01"))
     score = lambda ids: sum(lib.get_score(i) for i in ids)
     seen = 0
-    for r in documents(spark, sf).collect():
-        for line in r.text.split("\n")[:6]:
-            if line and "  " not in line and len(line) < 120:
-                # the first of several best paths is the lattice's own best
-                assert score(lib.nbest_encode(line, nbest_size=2)[0]) == score(CODEC.encode(line).tolist()), line
-                seen += 1
+    for word in sorted({w for r in documents(spark, sf).limit(60).collect() for w in r.text.split()})[:600]:
+        if len(word) <= 9:
+            # the first of several best paths is the lattice's own best
+            assert score(lib.nbest_encode(word, nbest_size=2)[0]) == score(CODEC.encode(word).tolist()), word
+            seen += 1
     assert seen > 100
     full = sentencepiece.SentencePieceProcessor(model_proto=proto)
     assert full.decode(CODEC.encode("Hé\n  lo 世😀").tolist()) == "Hé\n  lo 世😀"
