@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import documents, table
 from .decontamination import contaminated
+from .linededup import line_dedup
 from .pii import find_pii
 from .quality import quality
 from .secrets import find_secrets
@@ -16,6 +18,10 @@ from .sharding import uniform_shards
 from .toxicity import toxicity
 
 
+def op1_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir))
+
+
 def op2_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(documents(spark, sf_dir), n_shards=8)
 
@@ -45,6 +51,7 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_runs": op1_line_runs,
     "op2_uniform_shards": op2_uniform_shards,
     "op3_quality_machine": op3_quality_machine,
     "op4_piece_codec": op4_piece_codec,
@@ -53,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_spans": op9_pii_spans,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_runs": sql.LINE_RUNS}
