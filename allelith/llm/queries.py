@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import documents, table
 from .decontamination import contaminated
+from .fingerprints import fingerprints
 from .linededup import line_dedup
 from .pii import find_pii
 from .quality import quality
@@ -46,6 +47,10 @@ def op6_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op8_packed_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": op4_piece_codec,
     "op5_benchmark_regions": op5_benchmark_regions,
     "op6_toxic_severity": op6_toxic_severity,
+    "op8_packed_minhash": op8_packed_minhash,
     "op9_pii_spans": op9_pii_spans,
     "op10_secret_scan": op10_secret_scan,
 }
