@@ -15,6 +15,7 @@ from .pii import find_pii
 from .quality import quality
 from .secrets import find_secrets
 from .sentencepieces import encode_decode
+from .setjoin import jaccard_components
 from .sharding import uniform_shards
 from .toxicity import toxicity
 
@@ -47,6 +48,10 @@ def op6_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op8_packed_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_codec": op4_piece_codec,
     "op5_benchmark_regions": op5_benchmark_regions,
     "op6_toxic_severity": op6_toxic_severity,
+    "op7_jaccard_components": op7_jaccard_components,
     "op8_packed_minhash": op8_packed_minhash,
     "op9_pii_spans": op9_pii_spans,
     "op10_secret_scan": op10_secret_scan,
