@@ -22,11 +22,18 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = f"{tempfile.gettempdir()}/allelith-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by files in spark.checkpoint.dir (a folder of our own only where that is unset)."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/allelith-{uuid.uuid4().hex}")
+    """df computed once, its lineage cut by files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
