@@ -3,7 +3,7 @@
 The best segmentation is the one with the largest sum of piece scores; ties go to the earlier start of the last piece
 that differs. The search keeps scores for one window of the longest piece's length and back pointers only since the
 last committed boundary: once all paths that can still win run through one boundary, the ids before it are committed
-and dropped. Two kinds of boundary are known beforehand, since no piece of the vocabulary spans them: the one before a
+and dropped (paths that never meet keep their back pointers). Two kinds of boundary are known beforehand, since no piece of the vocabulary spans them: the one before a
 run of word marks, and those around a character that no piece holds. What lies between two such boundaries is searched
 on its own, and short stretches are remembered per worker.
 
@@ -56,7 +56,15 @@ class Vocabulary:
         for b, i in self.bytes_.items():
             self.surface[i] = bytes([b])
         self.longest = max(map(len, self.pieces))
-        self.begins = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        # character -> (the same for what may follow, score of the piece that ends here or None, its id)
+        self.tree: dict[str, tuple[dict, float | None, int]] = {}
+        for p, (score, i) in self.pieces.items():
+            node = self.tree
+            for c in p[:-1]:
+                if c not in node:
+                    node[c] = ({}, None, -1)
+                node = node[c][0]
+            node[p[-1]] = (node[p[-1]][0] if p[-1] in node else {}, score, i)
         alphabet = set("".join(self.pieces))
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("pieces of this vocabulary span word boundaries")
@@ -69,7 +77,7 @@ class Vocabulary:
 
 def segments(text: str, v: Vocabulary) -> Iterator[list[int]]:
     """Lists of ids, each committed as soon as all surviving paths meet."""
-    n, longest, pieces, begins = len(text), v.longest, v.pieces, v.begins
+    n, longest, tree = len(text), v.longest, v.tree
     # position -> (score, start of the last piece, its id or -1); positions before the committed boundary are dropped
     best: dict[int, tuple[float, int, int]] = {0: (0.0, 0, -1)}
     done, check = 0, 4 * longest
@@ -85,20 +93,22 @@ def segments(text: str, v: Vocabulary) -> Iterator[list[int]]:
     for at in range(n):
         here = best[at][0]
         single = False
-        for end in range(at + 1, min(n, at + longest) + 1):
-            p = text[at:end]
-            if p not in begins:
+        node, end = tree, at
+        for c in text[at : at + longest]:
+            if (got := node.get(c)) is None:
                 break
-            if (got := pieces.get(p)) is not None:
+            node, score, i = got
+            end += 1
+            if score is not None:
                 single |= end == at + 1
-                score = here + got[0]
+                score += here
                 if (old := best.get(end)) is None or score > old[0]:
-                    best[end] = (score, at, got[1])
+                    best[end] = (score, at, i)
         if not single:
             score = here + v.unknown
             if (old := best.get(at + 1)) is None or score > old[0]:
                 best[at + 1] = (score, at, -1)
-        if at - done >= check:
+        if at >= check:
             # every path that can still win runs through a position of the window ahead; walk them back until they meet
             heads = {p for p in range(at + 1, min(n, at + longest) + 1) if p in best}
             while len(heads) > 1:
@@ -111,21 +121,53 @@ def segments(text: str, v: Vocabulary) -> Iterator[list[int]]:
                 for p in range(done, meet):
                     best.pop(p, None)
                 done = meet
+            # paths that stay apart (as in one letter repeated) are looked at ever more rarely, so that the walks stay linear in all
+            check = at + max(4 * longest, at - done)
     if done < n:
         yield path(done, n)
 
 
+def short(text: str, v: Vocabulary) -> tuple[int, ...]:
+    """What segments() gives for a stretch that fits one window of memory: the same search on plain lists."""
+    n, tree, worst, longest = len(text), v.tree, float("-inf"), v.longest
+    best, back, ids = [worst] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for at in range(n):
+        here, node, end, single = best[at], tree, at, False
+        for c in text[at : at + longest]:
+            if (got := node.get(c)) is None:
+                break
+            node, score, i = got
+            end += 1
+            if score is not None:
+                if end == at + 1:
+                    single = True
+                score += here
+                if score > best[end]:
+                    best[end], back[end], ids[end] = score, at, i
+        if not single and here + v.unknown > best[at + 1]:
+            best[at + 1], back[at + 1], ids[at + 1] = here + v.unknown, at, -1
+    out, end = [], n
+    while end:
+        if ids[end] >= 0:
+            out.append(ids[end])
+        else:
+            out += reversed(v.fallback(text[back[end] : end]))
+        end = back[end]
+    return tuple(reversed(out))
+
+
 class Codec:
     def __init__(self, model: bytes) -> None:
         self.v, self.known = Vocabulary(model), {}
 
     def _stretch(self, s: str) -> tuple[int, ...]:
         if (got := self.known.get(s)) is None:
-            got = tuple(chain.from_iterable(segments(s, self.v)))
-            if len(s) <= MEMO_CHARS:
-                if len(self.known) >= MEMO_SIZE:
-                    self.known.clear()
-                self.known[s] = got
+            if len(s) > MEMO_CHARS:
+                return tuple(chain.from_iterable(segments(s, self.v)))
+            if len(self.known) >= MEMO_SIZE:
+                self.known.clear()
+            got = self.known[s] = short(s, self.v)
         return got
 
     def encode(self, text: str) -> np.ndarray:
