@@ -52,7 +52,8 @@ def shingles(text: Column) -> Column:
 
 
 def bin_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - BIN_BITS).cast("int")
+    """0 to BINS - 1, in the order of the hashes themselves."""
+    return F.shiftright(h, 64 - BIN_BITS).cast("int") + BINS // 2
 
 
 def smallest(hashes: Column) -> Column:
@@ -62,17 +63,20 @@ def smallest(hashes: Column) -> Column:
 
 def digits(values: Column, bins: Column) -> Column:
     """BINS numbers below 16 from the bins that aren't empty: their values and, in the same order, their places."""
+    none = lambda n: F.array_repeat(F.lit(None).cast("int"), n)
+    low = lambda value, b: F.xxhash64(value, b).bitwiseAND(15)
+    # for each bin, where its value is, or null
+    places = F.concat(none(F.get(bins, F.lit(0))), F.flatten(F.transform(bins, lambda x, j: F.concat(F.array(j), none(F.coalesce(F.get(bins, j + 1), F.lit(BINS)) - x - 1)))))
 
-    def place(b: Column) -> Column:
-        at = F.array_position(bins, b)
-        return F.when(at > 0, at)
+    def filled(at: Column) -> Column:
+        def source(b: Column) -> Column:
+            probes = [F.get(at, F.pmod(F.xxhash64(b, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
+            nearest = F.array_min(F.transform(bins, lambda x, j: F.struct(F.xxhash64(b, x, F.lit(-1)).alias("h"), j.alias("j"))))["j"]
+            return F.coalesce(F.get(at, b), *probes, nearest)
 
-    def source(b: Column) -> Column:
-        probes = [place(F.pmod(F.xxhash64(b, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(PROBES)]
-        nearest = F.array_min(F.transform(bins, lambda x, j: F.struct(F.xxhash64(b, x, F.lit(-1)).alias("h"), (j + 1).cast("long").alias("j"))))["j"]
-        return F.coalesce(place(b), *probes, nearest)
+        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: low(F.get(values, source(b)), b))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.xxhash64(F.element_at(values, source(b).cast("int")), b).bitwiseAND(15))
+    return F.when(F.size(values) == BINS, F.transform(values, low)).otherwise(let(places, filled))
 
 
 def packed(d: Column) -> Column:
@@ -84,7 +88,7 @@ def packed(d: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """array<bigint> of BINS / PACK longs, empty for a text without words."""
-    of_values = lambda v: F.when(F.size(v) > 0, packed(let(F.transform(v, bin_of), lambda b: digits(v, b)))).otherwise(F.array().cast("array<bigint>"))
+    of_values = lambda v: F.when(F.size(v) > 0, let(let(F.transform(v, bin_of), lambda b: digits(v, b)), packed)).otherwise(F.array().cast("array<bigint>"))
     return let(smallest(shingles(text)), of_values)
 
 
