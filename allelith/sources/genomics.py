@@ -30,7 +30,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     Lines of one file keep their order in `file_row`."""
     lines = spark.read.text(path).withColumn("file_row", F.monotonically_increasing_id()).where("value not like '#%' and trim(value) <> ''")
     f = F.split("value", "\t")
-    cols = [F.get(f, i).alias(c) if c != "pos" else (F.get(f, i).cast("bigint") - 1).alias("pos") for i, c in enumerate(VCF_FIELDS)]
+    cols = [F.get(f, i).alias(c) if c != "pos" else (F.get(f, i).try_cast("bigint") - 1).alias("pos") for i, c in enumerate(VCF_FIELDS)]
     return lines.select("file_row", *cols, F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("samples"), F.col("value").alias("line"))
 
 
