@@ -47,8 +47,8 @@ append_paths = Op(
        extra as (select site_id, allele, row_number() over (partition by site_id order by allele) as nth from {missing}),
        ids as (select distinct nth from extra), every as (select distinct site_id from {paths})
        select path_id, site_id, allele from {paths}
-       union all select t.last + v.nth as path_id, v.site_id, coalesce(e.allele, 0) as allele
-       from (select e.site_id, i.nth from every e join ids i on i.nth > 0) v join top t on t.last >= 0 left join extra e on e.site_id = v.site_id and e.nth = v.nth""",
+       union all select (select last from top) + v.nth as path_id, v.site_id, coalesce(e.allele, 0) as allele
+       from (select e.site_id, i.nth from every e join ids i on i.nth > 0) v left join extra e on e.site_id = v.site_id and e.nth = v.nth""",
     "K9: further paths that take what is still missing, the reference elsewhere.",
 )
 
@@ -60,7 +60,7 @@ def haplotype_to_path(window: int = 5) -> Op:
         "haplotypes paths",
         f"""with own as (select path_id as hap_id, site_id, allele, row_number() over (partition by path_id order by site_id) as ix from {{haplotypes}}),
         met as (
-          select h.hap_id, h.site_id, h.ix, p.path_id, min(case when h.allele <> p.allele then h.ix end) over (partition by h.hap_id, p.path_id order by h.ix rows between current row and unbounded following) as off,
+          select h.hap_id, h.site_id, h.ix, p.path_id, min(case when h.allele <> p.allele then h.ix end) over (partition by h.hap_id, p.path_id order by h.ix desc rows between unbounded preceding and current row) as off,
             count(*) over (partition by h.hap_id, p.path_id) as n
           from own h join {{paths}} p on p.site_id = h.site_id
         )

@@ -87,7 +87,7 @@ overlapping_indels = Op(
     "overlapping_indels",
     "spans",
     """with row as (select variant_id, chrom, pos, pos + len_ref as e, len_ref > 1 or len_alt > 1 as is_indel from {spans}),
-    binned as (select variant_id, chrom, pos, case when is_indel then e else pos end as e, is_indel, @each(cast(floor(pos / 1024) as bigint); cast(floor(case when is_indel then e else pos end / 1024) as bigint)) as bin from row),
+    binned as (select variant_id, chrom, pos, case when is_indel then e else pos end as e, is_indel, @each(cast(floor(pos / 128) as bigint); cast(floor(case when is_indel then e else pos end / 128) as bigint)) as bin from row),
     gone as (
       select distinct a.variant_id from binned a join binned b on a.chrom = b.chrom and a.bin = b.bin and a.is_indel and a.pos <= b.e and b.pos <= a.e
       where (not b.is_indel) or b.variant_id < a.variant_id

@@ -126,8 +126,7 @@ combo_prior = Op(
     grid as (select v.variant_id, v.gh, v.gm, coalesce(c.n, 0) as n from (select variant_id, gh, @each(0; 2) as gm from (select variant_id, @each(0; 2) as gh from (select distinct variant_id from cell) a) b) v
       left join cell c on c.variant_id = v.variant_id and c.gh = v.gh and c.gm = v.gm),
     pooled as (select gh, gm, 150 * (sum(n) + 1) / sum(sum(n) + 1) over (partition by gh) as p from grid group by gh, gm),
-    size as (select count(distinct variant_id) as v from cell),
-    mean as (select gh, m / sum(m) over () as m from (select gh, sum(n) / max(s.v) + 1.0 / max(s.v) as m from grid, size s group by gh) a),
+    mean as (select gh, m / sum(m) over () as m from (select gh, (sum(n) + 1) / count(distinct variant_id) as m from grid group by gh) a),
     helper as (select variant_id, gh, h / sum(h) over (partition by variant_id) as h from (select g.variant_id, g.gh, max(5 * m.m) + sum(g.n) as h from grid g join mean m on m.gh = g.gh group by g.variant_id, g.gh) a)
     select g.variant_id, g.gh, g.gm, round((g.n + p.p) / sum(g.n + p.p) over (partition by g.variant_id, g.gh) * h.h, 6) as p
     from grid g join pooled p on p.gh = g.gh and p.gm = g.gm join helper h on h.variant_id = g.variant_id and h.gh = g.gh""",
