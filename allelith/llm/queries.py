@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_spans": op9_pii_spans,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_runs": sql.LINE_RUNS}
+ORACLE_SQL: dict[str, str] = {"op1_line_runs": sql.LINE_RUNS, "op7_jaccard_components": sql.JACCARD_COMPONENTS}

@@ -42,3 +42,25 @@ left join (select doc_id, count(*) as n from line group by doc_id) l using (doc_
 left join (select doc_id, count(*) as k, sum(n) as n from span group by doc_id) s using (doc_id)
 left join left_over o using (doc_id)
 """
+
+JACCARD_COMPONENTS = r"""
+with recursive word as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingle as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from word) t
+), size as (
+  select doc_id, count(*) as n from shingle group by doc_id
+), shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as o from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), link as (
+  select x, y from shared join size p on p.doc_id = x join size q on q.doc_id = y where 100 * o >= 80 * (p.n + q.n - o)
+), edge as (
+  select x, y from link union all select y as x, x as y from link
+), reach as (
+  select doc_id as a, doc_id as b from documents union select r.a, e.y as b from reach r join edge e on e.x = r.b
+)
+select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, c.component_id
+from documents d left join size s on s.doc_id = d.doc_id join (select a, min(b) as component_id from reach group by a) c on c.a = d.doc_id
+"""
