@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import LOWER, buffers
 from .common import id_text
 
 Q = 10
@@ -36,10 +37,6 @@ CHUNK = 1 << 20
 BITS = 22
 SCHEMA = "doc_id long, item_id long, n_windows int, edits int, start int, end int"
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-LOWER[9:14] = 32
-
 
 def normal(text: str) -> bytes:
     return LOWER[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)].tobytes()
@@ -126,20 +123,6 @@ def chars(b: bytes, n: int) -> int:
     return int(np.count_nonzero((np.frombuffer(b[:n], np.uint8) & 0xC0) != 0x80))
 
 
-def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts and each text's offsets; nulls are empty."""
-    texts = (texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
-    if texts.null_count:
-        texts = texts.fill_null("")
-    n = len(texts)
-    if not n:
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, off, data = texts.buffers()
-    offsets = np.frombuffer(off, np.int64)[texts.offset : texts.offset + n + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, window, edits, start, end) in bytes of a text, for each window that it holds."""
     raw, offsets = buffers(texts)
