@@ -68,3 +68,26 @@ def test_trees_in_sql_equal_trees_in_numpy(spark):
     df = spark.createDataFrame([[float(v) for v in r] for r in x[:50]], "a double, b double, c double")
     assert np.allclose([r.p for r in df.select(m.column([F.col(c) for c in "abc"]).alias("p")).collect()], m.probability(x[:50]))
     assert boost.fit(np.zeros((0, 3)), np.zeros(0), np.zeros(0)).probability(x).max() < 0.01
+
+
+#: What no base kind takes, by generator, and spans like them that fail its test.
+PLANTED = [
+    ("x_email", "write to ann (at) home (dot) org.", "ann (at) home (dot) org"), ("x_email", "or bob.k[at]mail.example[dot]com. Then", "bob.k[at]mail.example[dot]com"),
+    ("x_card", "paid by 4111.1111.1111.1111 today", "4111.1111.1111.1111"), ("x_card", "at +1 (314) 555-6532 4111111111111111 now", "4111111111111111"),
+    ("x_phone", "call 030 1234 5678 or", "030 1234 5678"), ("x_phone", "office (212) 555-0187, room 4", "(212) 555-0187"), ("x_phone", "at +1 (314) 555-6532 4111111111111111 now", "+1 (314) 555-6532"),
+    ("x_id", "born as 123-45-6789 in", "123-45-6789"),
+    ("x_iban", "to DE89 3704 0044 0532 0130 00 by", "DE89 3704 0044 0532 0130 00"), ("x_iban", "to GB82WEST12345698765432.", "GB82WEST12345698765432"), ("x_iban", "to AT61 1904 3002 3457 3201 IS", "AT61 1904 3002 3457 3201"),
+]
+DECOYS = ["see you @ noon.then7 ok", "number 000-45-6789 and 923-45-6789", "to DE88 3704 0044 0532 0130 00 by", "4111.1111.1111.1112 is none", "part 1234567 89 of", "from 2010-11-12 on", "version 999.1.2.3"]
+
+
+def test_each_generator_adds_what_it_is_for(make):
+    rows = list(enumerate([t for _, t, _ in PLANTED] + DECOYS))
+    for some in (rows, rows * 30, *([r] for r in rows[:11:3])):
+        for r in pii.find_pii(make(some)).collect():
+            if r.doc_id < len(PLANTED):
+                kind, text, span = PLANTED[r.doc_id]
+                at = text.index(span)
+                assert f"{kind}:{at}:{at + len(span)}" in r.spans.split(","), (text, r.spans)
+            else:
+                assert r.n_added == 0, (rows[r.doc_id], r.spans)
