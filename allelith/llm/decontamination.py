@@ -1,11 +1,12 @@
 """Benchmark decontamination by q-gram lemma filtering over overlapping diagonal bands, verified by banded alignment.
 
-Items and texts are compared as UTF-8 bytes with A-Z lowered and white space as blanks. An item is cut into windows of
-WINDOW bytes, every WINDOW / 2 and one at its end (one window if it is shorter). A text holds a window if some region of
+Items and texts are compared as UTF-8 bytes with A-Z lowered and white space as blanks. Each stretch of WINDOW bytes of an
+item, from whatever byte on, is a window (the whole item if it is shorter). A text holds a window if some region of
 it lies within `edits` = floor(RATE * length) insertions, deletions and substitutions of bytes. The q-gram lemma: such a
 region shares at least length - q + 1 - q * edits q-grams with the window, all on diagonals within `edits` of each
-other. Hits are therefore counted per window in bands of 2 * edits + 1 diagonals that overlap by half; bands that reach
-the bound are regions, and a banded alignment decides each.
+other. Hits are therefore counted per item in bands of 2 * edits + 2 diagonals that overlap by half, over a stretch that
+slides along the item; windows that reach the bound in a band are aligned with the band's bytes, many at once. Windows
+are never written out: the index holds each q-gram of an item once.
 
 Texts are scanned where they are read, with no shuffle. Items are taken to the executors in slices of SLICE_BYTES at
 most, one pass over the texts for each slice, so that nothing of unbounded size is ever broadcast.
@@ -35,6 +36,7 @@ LEAST = 40
 SLICE_BYTES = 8 << 20
 CHUNK = 1 << 20
 BITS = 22
+ROWS = 512
 SCHEMA = "doc_id long, item_id long, n_windows int, edits int, start int, end int"
 
 
@@ -63,59 +65,95 @@ class Window:
     least: int
 
 
-def windows(items: list[tuple[int, str]]) -> list[Window]:
-    out = []
-    for item, text in items:
-        b = normal(text)
-        if len(b) < LEAST:
-            continue
-        w = min(WINDOW, len(b))
-        for s in sorted({*range(0, len(b) - w + 1, WINDOW // 2), len(b) - w}):
-            e = int(RATE * w)
-            out.append(Window(item, s, b[s : s + w], e, max(1, w - Q + 1 - Q * e)))
-    return out
+class Windows:
+    """The windows of items, made as they are asked for; ids and texts hold what they are made from."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        kept = [(i, b) for i, b in ((i, normal(t)) for i, t in items) if len(b) >= LEAST]
+        self.ids, self.texts = [i for i, _ in kept], [b for _, b in kept]
+
+    def __iter__(self) -> Iterator[Window]:
+        for item, b in zip(self.ids, self.texts, strict=True):
+            w, e, least = bounds(len(b))
+            for s in range(len(b) - w + 1):
+                yield Window(item, s, b[s : s + w], e, least)
+
+
+def bounds(n: int) -> tuple[int, int, int]:
+    """Length, edits and least shared q-grams of the windows of an item of n bytes."""
+    w = min(WINDOW, n)
+    e = int(RATE * w)
+    return w, e, max(1, w - Q + 1 - Q * e)
+
+
+def windows(items: list[tuple[int, str]]) -> Windows:
+    return Windows(items)
 
 
 class Index:
-    """q-grams of windows: a bitmap for a first look, then sorted hashes with their windows and places."""
+    """q-grams of items: a bitmap for a first look, then sorted hashes with their items and places."""
 
-    def __init__(self, found: list[Window]) -> None:
-        self.windows = found
-        h = [grams(np.frombuffer(w.text, np.uint8)) for w in found]
+    def __init__(self, found: Windows) -> None:
+        self.ids, self.texts = found.ids, found.texts
+        h = [grams(np.frombuffer(b, np.uint8)) for b in self.texts]
         hashes = np.concatenate(h) if h else np.zeros(0, np.uint32)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.window = np.repeat(np.arange(len(h)), [len(x) for x in h])[order]
+        self.item = np.repeat(np.arange(len(h)), [len(x) for x in h])[order]
         self.place = (np.concatenate([np.arange(len(x)) for x in h]) if h else np.zeros(0, np.int64))[order]
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[self.hashes >> np.uint32(32 - BITS)] = True
-        self.edits = np.array([w.edits for w in found], np.int64)
-        self.least = np.array([w.least for w in found], np.int64)
+        self.width, self.edits, self.least = np.array([bounds(len(b)) for b in self.texts], np.int64).reshape(-1, 3).T
 
     def hits(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose q-gram may be a window's, and its hash."""
+        """Positions whose q-gram may be an item's, and its hash."""
         h = grams(a)
         at = np.flatnonzero(self.bitmap[h >> np.uint32(32 - BITS)])
         return at, h[at]
 
 
-def distance(pattern: bytes, text: bytes, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the region of text nearest to pattern, the first such end; None if over most. text is a band's
-    bytes, so every row of the table spans the band alone."""
-    if (at := text.find(pattern)) >= 0:
-        return 0, at + len(pattern)
-    t = np.frombuffer(text, np.uint8)
-    steps = np.arange(len(t) + 1)
-    row = np.zeros(len(t) + 1, np.int64)
-    for i, c in enumerate(pattern, 1):
+def nearest(patterns: np.ndarray, texts: np.ndarray, free: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the region of each row of texts nearest to its row of patterns, the first such end; regions begin
+    anywhere, or if not free at the row's first byte. Values over 255 in texts stand for no byte."""
+    steps = np.arange(texts.shape[1] + 1, dtype=np.int16)
+    row = np.tile(steps * np.int16(not free), (len(texts), 1))
+    for i in range(patterns.shape[1]):
         new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (t != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > most:
-            return None
-    end = int(row.argmin())
-    return (int(row[end]), end) if row[end] <= most else None
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (texts != patterns[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:])
+        new -= steps
+        row = np.minimum.accumulate(new, axis=1) + steps
+    end = row.argmin(axis=1)
+    return row[np.arange(len(row)), end], end
+
+
+def aligned(item: bytes, text: np.ndarray, at: np.ndarray, diagonal: int, width: int, edits: int) -> Iterator[tuple[int, int, int, int]]:
+    """(window, edits, start, end) of the windows from the places `at` on that text holds in the band from a diagonal on."""
+    body, left = text.tobytes(), []
+    for s in at.tolist():
+        a = diagonal + s - edits
+        k = body.find(item[s : s + width], max(0, a), max(0, a + width + 4 * edits + 2))
+        if k >= 0:
+            yield s, 0, k, k + width
+        else:
+            left.append(s)
+    item_ = np.frombuffer(item, np.uint8).astype(np.int16)
+    for i in range(0, len(left), ROWS):
+        s = np.array(left[i : i + ROWS], np.int64)[:, None]
+        pattern = item_[s + np.arange(width)]
+        a = diagonal + s - edits
+        e, end = nearest(pattern, some(text, a + np.arange(width + 4 * edits + 2)))
+        ok = e <= edits
+        if ok.any():
+            s, e, end = s[ok, 0], e[ok], (a[:, 0] + end)[ok]
+            back = some(text, end[:, None] - 1 - np.arange(width + edits))
+            _, long = nearest(pattern[ok, ::-1], back, free=False)
+            yield from zip(s.tolist(), e.tolist(), (end - long).tolist(), end.tolist(), strict=True)
+
+
+def some(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """text's bytes at these places, 256 outside of it."""
+    return np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, len(text) - 1)].astype(np.int16), np.int16(256))
 
 
 def chars(b: bytes, n: int) -> int:
@@ -123,8 +161,8 @@ def chars(b: bytes, n: int) -> int:
     return int(np.count_nonzero((np.frombuffer(b[:n], np.uint8) & 0xC0) != 0x80))
 
 
-def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, window, edits, start, end) in bytes of a text, for each window that it holds."""
+def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item's place in the index, windows, edits, start, end) in bytes of a text, for each item of which it holds a window."""
     raw, offsets = buffers(texts)
     if not len(index.hashes):
         return
@@ -144,36 +182,52 @@ def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int,
     at, doc, low, n = at[keep], doc[keep], low[keep], n[keep]
     if not len(n):
         return
-    # one entry for each hit and window
+    # one entry for each hit and item
     entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
     pos, row = np.repeat(at, n), np.repeat(doc, n)
-    window, place = index.window[entry], index.place[entry]
-    pair = row * len(index.windows) + window
-    names, back, total = np.unique(pair, return_inverse=True, return_counts=True)
-    keep = (total >= index.least[names % len(index.windows)])[back]
-    pair, pos, place, window = pair[keep], pos[keep], place[keep], window[keep]
+    item, place = index.item[entry], index.place[entry]
+    pair = row * len(index.ids) + item
+    _, back, total = np.unique(pair, return_inverse=True, return_counts=True)
+    keep = total[back] >= index.least[item]
+    pair, pos, place, item = pair[keep], pos[keep], place[keep], item[keep]
     if not len(pair):
         return
-    step = index.edits[window] + 1
-    band = (pos - place - offsets[pair // len(index.windows)] + WINDOW) // step
-    key = np.stack([np.concatenate([pair, pair]), np.concatenate([band, band - 1])], axis=1)
-    key, total = np.unique(key, axis=0, return_counts=True)
-    key = key[total >= index.least[key[:, 0] % len(index.windows)]]
-    best: dict[int, tuple[int, int, int]] = {}
-    for p, b in key.tolist():
-        d, w = divmod(p, len(index.windows))
-        if best.get(p, (1,))[0] == 0:
-            continue
-        x = index.windows[w]
-        first, last = int(offsets[d]), int(offsets[d + 1])
-        low_ = first + b * (x.edits + 1) - WINDOW
-        a, z = max(first, low_ - x.edits), min(last, low_ + 2 * (x.edits + 1) + len(x.text) + x.edits)
-        if a < z and (got := distance(x.text, LOWER[raw[a:z]].tobytes(), x.edits)):
-            end = a + got[1] - first
-            if p not in best or got[0] < best[p][0]:
-                best[p] = (got[0], max(0, end - len(x.text)), end)
-    for p, (e, s, z) in best.items():
-        yield p // len(index.windows), p % len(index.windows), e, s, z
+    band = (pos - place - offsets[pair // len(index.ids)]) // (index.edits[item] + 1)
+    # places of a pair's band, each once and in order
+    pair, band, place = np.concatenate([pair, pair]), np.concatenate([band, band - 1]), np.concatenate([place, place])
+    order = np.lexsort((place, band, pair))
+    pair, band, place = pair[order], band[order], place[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])
+    once = new.copy()
+    once[1:] |= place[1:] != place[:-1]
+    pair, band, place, new = pair[once], band[once], place[once], new[once]
+    item, group = pair % len(index.ids), np.cumsum(new) - 1
+    # a band is looked at if enough of its places lie within one window
+    last = np.arange(len(pair)) + index.least[item] - 1
+    inside = np.minimum(last, len(pair) - 1)
+    dense = (last < len(pair)) & (group[inside] == group) & (place[inside] - place <= index.width[item] - Q)
+    starts = np.append(np.flatnonzero(new), len(pair))
+    held: dict[int, list[tuple[int, int, int, int]]] = {}
+    for g in np.unique(group[dense]).tolist():
+        a, z = int(starts[g]), int(starts[g + 1])
+        d, x = divmod(int(pair[a]), len(index.ids))
+        text, w, e = index.texts[x], int(index.width[x]), int(index.edits[x])
+        # windows that hold any of the places, by how many
+        first, most = max(0, int(place[a]) - (w - Q)), min(int(place[z - 1]), len(text) - w)
+        here = np.zeros(most - first + w - Q + 2, np.int64)
+        here[place[a:z] - first + 1] = 1
+        here = np.cumsum(here)
+        at = first + np.flatnonzero(here[w - Q + 1 :] - here[: most - first + 1] >= index.least[x])
+        # the band's bytes
+        diagonal = int(band[a]) * (e + 1)
+        begin = max(0, diagonal + int(at[0]) - e)
+        body = LOWER[raw[offsets[d] + begin : min(offsets[d + 1], offsets[d] + diagonal + int(at[-1]) + w + 3 * e + 2)]]
+        found = aligned(text, body, at, diagonal - begin, w, e)
+        held.setdefault(int(pair[a]), []).extend((s, k, i + begin, j + begin) for s, k, i, j in found)
+    for p, hits in held.items():
+        if hits:
+            yield p // len(index.ids), p % len(index.ids), len({h[0] for h in hits}), min(h[1] for h in hits), min(h[2] for h in hits), max(h[3] for h in hits)
 
 
 def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -188,7 +242,7 @@ def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[list[tuple
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item of which it holds a window: how many windows, the fewest edits, and the region
-    from the first window's start to the last one's end."""
+    from the first place of a window to the end of the last."""
     docs, out = id_text(docs), None
     for items in slices(benchmark):
         found = windows(items)
@@ -196,13 +250,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             index = Index(found)
             for batch in batches:
-                texts, ids, rows = batch.column("text"), batch.column("doc_id"), {}
-                for d, w, e, s, z in search(texts, index):
-                    rows.setdefault((d, index.windows[w].item), []).append((e, s, z))
-                made = []
-                for (d, item), hits in sorted(rows.items(), key=lambda r: (r[0][0], r[0][1] is None, r[0][1])):
+                texts, ids, made = batch.column("text"), batch.column("doc_id"), []
+                for d, x, n, e, s, z in sorted(search(texts, index), key=lambda r: r[:2]):
                     b = texts[d].as_py().encode()
-                    made.append((ids[d].as_py(), item, len(hits), min(h[0] for h in hits), chars(b, min(h[1] for h in hits)), chars(b, max(h[2] for h in hits))))
+                    made.append((ids[d].as_py(), index.ids[x], n, e, chars(b, s), chars(b, z)))
                 cols = list(zip(*made, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], ["doc_id", "item_id", "n_windows", "edits", "start", "end"])
 

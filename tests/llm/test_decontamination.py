@@ -78,3 +78,21 @@ def test_documents_with_whole_items(spark, sf01):
     whole = {(r.doc_id, i) for r in documents(spark, sf01).collect() for i, t in items.items() if t in r.text}
     got = {(r.doc_id, r.item_id) for r in D.contaminated(documents(spark, sf01), table(spark, sf01, "benchmark")).collect()}
     assert whole and whole <= got and len(got) < 1.1 * len(whole) + 3
+
+
+def test_passages_of_one_window_are_found_at_any_offset():
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    items = [(i, text(rng.randint(30, 60))) for i in range(8)]
+    index, rows = D.Index(D.windows(items)), []
+    for k in range(160):
+        i = rng.randrange(8)
+        b = D.normal(items[i][1])
+        at = rng.randrange(len(b) - D.WINDOW + 1)
+        cut = bytearray(b[at : at + D.WINDOW])
+        for _ in range(k % 3 * 4):  # as many edits as a window may hold, at most
+            cut[rng.randrange(len(cut))] = ord("x")
+        rows.append(f"{text(5)} ".encode() + bytes(cut) + f" {text(5)}".encode())
+    raw = pa.array(rows, pa.binary())
+    texts = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())  # cuts within a letter too
+    assert {d for d, *_ in D.search(texts, index)} == set(range(len(rows)))
