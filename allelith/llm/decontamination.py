@@ -11,14 +11,18 @@ are never written out: the index holds each q-gram of an item once.
 Texts are scanned where they are read, with no shuffle. Items are taken to the executors in slices of SLICE_BYTES at
 most, one pass over the texts for each slice, so that nothing of unbounded size is ever broadcast.
 
-Defined cases: null and empty texts hold nothing; items under LEAST bytes, which could not be told from chance, and
-null items are not searched for; equal items each get rows; repeated documents each get rows; offsets are code points.
+Items under LEAST bytes, which with edits could not be told from chance, are looked for without any, their outer blanks
+apart, where no letter or digit adjoins one of theirs; each has one window. Their hashes are met by those of a text's
+stretches of the same lengths, and bytes decide.
+
+Defined cases: null and empty texts hold nothing; null items and those of white space alone are not searched for; equal items each get rows; repeated documents each get rows; offsets are code points.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +41,7 @@ SLICE_BYTES = 8 << 20
 CHUNK = 1 << 20
 BITS = 22
 ROWS = 512
+ASCII_WORD = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 SCHEMA = "doc_id long, item_id long, n_windows int, edits int, start int, end int"
 
 
@@ -56,6 +61,19 @@ def grams(a: np.ndarray) -> np.ndarray:
     return out * np.uint32(0x85EBCA6B)
 
 
+@cache
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    base = 0x9E3779B97F4A7C15
+    run = np.full(n, pow(base, -1, 1 << 64) if inverse else base, np.uint64)
+    run[0] = 1
+    return np.cumprod(run, dtype=np.uint64)
+
+
+def prefixes(a: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the first 0, 1, ... bytes, by growing powers."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * powers(CHUNK + LEAST + 1)[: len(a)], dtype=np.uint64)])
+
+
 @dataclass
 class Window:
     item: int
@@ -66,17 +84,21 @@ class Window:
 
 
 class Windows:
-    """The windows of items, made as they are asked for; ids and texts hold what they are made from."""
+    """The windows of items, made as they are asked for; ids and texts hold what they are made from, then short ones."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        kept = [(i, b) for i, b in ((i, normal(t)) for i, t in items) if len(b) >= LEAST]
-        self.ids, self.texts = [i for i, _ in kept], [b for _, b in kept]
+        made = [(i, normal(t)) for i, t in items]
+        kept = [x for x in made if len(x[1]) >= LEAST]
+        less = [(i, b.strip(b" ")) for i, b in made if len(b) < LEAST and b.strip(b" ")]
+        self.ids, self.texts, self.short = [i for i, _ in kept + less], [b for _, b in kept], [b for _, b in less]
 
     def __iter__(self) -> Iterator[Window]:
-        for item, b in zip(self.ids, self.texts, strict=True):
+        for item, b in zip(self.ids, self.texts, strict=False):
             w, e, least = bounds(len(b))
             for s in range(len(b) - w + 1):
                 yield Window(item, s, b[s : s + w], e, least)
+        for item, b in zip(self.ids[len(self.texts) :], self.short, strict=True):
+            yield Window(item, 0, b, 0, 1)
 
 
 def bounds(n: int) -> tuple[int, int, int]:
@@ -104,6 +126,11 @@ class Index:
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[self.hashes >> np.uint32(32 - BITS)] = True
         self.width, self.edits, self.least = np.array([bounds(len(b)) for b in self.texts], np.int64).reshape(-1, 3).T
+        # places of short items by length and text, and by length the sorted hashes of those texts
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for i, b in enumerate(found.short, len(self.texts)):
+            self.short.setdefault(len(b), {}).setdefault(b, []).append(i)
+        self.exact = {n: np.unique([prefixes(np.frombuffer(b, np.uint8))[-1] for b in by]) for n, by in self.short.items()}
 
     def hits(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose q-gram may be an item's, and its hash."""
@@ -161,9 +188,53 @@ def chars(b: bytes, n: int) -> int:
     return int(np.count_nonzero((np.frombuffer(b[:n], np.uint8) & 0xC0) != 0x80))
 
 
+def word(around: bytes, at: int) -> bool:
+    """Whether the character that ends (at = -1) or begins (at = 0) these bytes is a letter or a digit."""
+    text = around.decode("utf-8", "ignore")
+    return bool(text) and text[at].isalnum()
+
+
+def verbatim(raw: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item's place in the index, start, end) of the short items that texts hold."""
+    for s in range(0, len(raw), CHUNK):
+        base = max(0, s - 1)
+        b = LOWER[raw[base : s + CHUNK + LEAST]]
+        plain, hashes = ASCII_WORD[b], prefixes(b)
+        # an item may begin and end here: no letter adjoins another, as far as single bytes tell
+        edge = np.ones(len(b) + 1, bool)
+        edge[1:-1] = ~(plain[1:] & plain[:-1])
+        seam = offsets[np.searchsorted(offsets, base) : np.searchsorted(offsets, base + len(b), "right")] - base
+        edge[seam] = True
+        starts = np.flatnonzero(edge[: s - base + CHUNK])
+        starts = starts[starts >= s - base]
+        for n, wanted in index.exact.items():
+            at = starts[starts + n <= len(b)]
+            at = at[edge[at + n]]
+            h = (hashes[at + n] - hashes[at]) * powers(CHUNK + LEAST + 1, True)[at]
+            for k in at[wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h].tolist():
+                held, p = b[k : k + n].tobytes(), base + k
+                d = int(np.searchsorted(offsets, p, "right")) - 1
+                first, last = int(offsets[d]), int(offsets[d + 1])
+                if p + n > last or held not in index.short[n]:
+                    continue
+                if not (word(held, 0) and word(raw[max(first, p - 4) : p].tobytes(), -1)) and not (word(held, -1) and word(raw[p + n : min(last, p + n + 4)].tobytes(), 0)):
+                    for x in index.short[n][held]:
+                        yield d, x, p - first, p - first + n
+
+
 def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item's place in the index, windows, edits, start, end) in bytes of a text, for each item of which it holds a window."""
     raw, offsets = buffers(texts)
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for d, x, s, z in verbatim(raw, offsets, index) if index.exact else ():
+        places.setdefault((d, x), []).append((s, z))
+    for (d, x), hits in places.items():
+        yield d, x, 1, 0, hits[0][0], hits[-1][1]
+    yield from similar(raw, offsets, index)
+
+
+def similar(raw: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """What search gives for the items of LEAST bytes and more."""
     if not len(index.hashes):
         return
     found = []

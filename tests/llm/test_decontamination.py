@@ -96,3 +96,24 @@ def test_passages_of_one_window_are_found_at_any_offset():
     raw = pa.array(rows, pa.binary())
     texts = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())  # cuts within a letter too
     assert {d for d, *_ in D.search(texts, index)} == set(range(len(rows)))
+
+
+def test_short_items_are_found_verbatim(spark, make):
+    bench = spark.createDataFrame([(1, "What is  2+2?"), (2, "Où est Zoé"), (3, " a\n"), (4, " \n"), (5, ""), (6, "Où est Zoé"), (7, "x" * (D.LEAST - 1))], "item_id long, text string")
+    docs = [
+        (1, "so: WHAT is  2+2? yes"), (2, "what is 2+2?"), (3, "what is  2+2"), (4, "“Où est Zoé”"), (5, "Où est Zoéé"), (6, "éOù est Zoé"), (7, "Où est Zoé"), (8, "such b-a-b"),
+        (9, "bad cat"), (10, "Où est Zoe"), (11, "x" * D.LEAST), (12, "_" + "x" * (D.LEAST - 1)), (13, None), (14, ""), (15, "a"), (16, "Où est"), (17, " Zoé"),
+    ]
+    want = {(1, 1, 4, 17), (4, 2, 1, 11), (4, 6, 1, 11), (7, 2, 0, 10), (7, 6, 0, 10), (8, 3, 7, 8), (12, 7, 1, D.LEAST), (15, 3, 0, 1)}
+    got = D.contaminated(make(docs).coalesce(1), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.end) for r in got} == want and {(r.n_windows, r.edits) for r in got} == {(1, 0)}
+    assert sorted(r.doc_id for r in D.keep_uncontaminated(make(docs), bench).collect()) == sorted({i for i, _ in docs} - {w[0] for w in want})
+
+
+def test_short_items_meet_no_chunk_seams(monkeypatch):
+    index, rows = D.Index(D.windows([(1, "big dog")])), ["a big dog", "big", " dog", "a big dogs", "the big dog big dog"]
+    want = [(0, 2, 9), (4, 4, 19)]
+    for chunk in (1, 2, 3, 16, 1 << 20):
+        monkeypatch.setattr(D, "CHUNK", chunk)
+        D.powers.cache_clear()
+        assert [(d, s, z) for d, x, n, e, s, z in D.search(pa.array(rows), index)] == want, chunk
