@@ -42,7 +42,8 @@ CHUNK = 1 << 20
 BITS = 22
 ROWS = 512
 ASCII_WORD = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
-SCHEMA = "doc_id long, item_id long, n_windows int, edits int, start int, end int"
+SCHEMA = "doc_id long, item_id long, n_windows int, edits int, start int, end int, regions array<struct<start:int,end:int,edits:int>>"
+REGION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
 
 
 def normal(text: str) -> bytes:
@@ -183,9 +184,9 @@ def some(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where((at >= 0) & (at < len(text)), text[np.clip(at, 0, len(text) - 1)].astype(np.int16), np.int16(256))
 
 
-def chars(b: bytes, n: int) -> int:
-    """Code points that begin in the first n bytes."""
-    return int(np.count_nonzero((np.frombuffer(b[:n], np.uint8) & 0xC0) != 0x80))
+def code_points(b: bytes) -> np.ndarray:
+    """Code points that begin in the first 0, 1, ... bytes."""
+    return np.append(0, np.cumsum((np.frombuffer(b, np.uint8) & 0xC0) != 0x80))
 
 
 def word(around: bytes, at: int) -> bool:
@@ -222,18 +223,35 @@ def verbatim(raw: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tup
                         yield d, x, p - first, p - first + n
 
 
-def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(row, item's place in the index, windows, edits, start, end) in bytes of a text, for each item of which it holds a window."""
+def disjoint(places: list[tuple[int, int, int]], slack: int = 0) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of places joined where they overlap by more than slack, in order; edits: the fewest. Smaller
+    overlaps, of copies side by side whose windows reach into each other by their edits, are halved."""
+    out: list[tuple[int, int, int]] = []
+    for s, z, e in sorted(places):
+        if out and s + slack < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]), min(e, out[-1][2]))
+        else:
+            out.append((s, z, e))
+    for k in range(1, len(out)):
+        (a, b, e), (s, z, f) = out[k - 1 : k + 1]
+        if s < b:
+            out[k - 1 : k + 1] = [(a, (s + b) // 2, e), ((s + b) // 2, z, f)]
+    return out
+
+
+def search(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """(row, item's place in the index, windows, regions) for each item of which a text holds a window; regions: the disjoint
+    (start, end, edits) in bytes of the text."""
     raw, offsets = buffers(texts)
-    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    places: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for d, x, s, z in verbatim(raw, offsets, index) if index.exact else ():
-        places.setdefault((d, x), []).append((s, z))
+        places.setdefault((d, x), []).append((s, z, 0))
     for (d, x), hits in places.items():
-        yield d, x, 1, 0, hits[0][0], hits[-1][1]
+        yield d, x, 1, disjoint(hits)
     yield from similar(raw, offsets, index)
 
 
-def similar(raw: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
+def similar(raw: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
     """What search gives for the items of LEAST bytes and more."""
     if not len(index.hashes):
         return
@@ -298,7 +316,7 @@ def similar(raw: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tupl
         held.setdefault(int(pair[a]), []).extend((s, k, i + begin, j + begin) for s, k, i, j in found)
     for p, hits in held.items():
         if hits:
-            yield p // len(index.ids), p % len(index.ids), len({h[0] for h in hits}), min(h[1] for h in hits), min(h[2] for h in hits), max(h[3] for h in hits)
+            yield p // len(index.ids), p % len(index.ids), len({h[0] for h in hits}), disjoint([(i, j, e) for _, e, i, j in hits], int(index.width[p % len(index.ids)]) // 2)
 
 
 def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -312,8 +330,9 @@ def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[list[tuple
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item of which it holds a window: how many windows, the fewest edits, and the region
-    from the first place of a window to the end of the last."""
+    """One row for each document and item of which it holds a window: how many windows, the fewest edits, the first of the
+    regions with so few, and all regions: the places of its windows, joined where they overlap. A region may
+    reach over its passage by what its windows' edits allow."""
     docs, out = id_text(docs), None
     for items in slices(benchmark):
         found = windows(items)
@@ -322,11 +341,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = Index(found)
             for batch in batches:
                 texts, ids, made = batch.column("text"), batch.column("doc_id"), []
-                for d, x, n, e, s, z in sorted(search(texts, index), key=lambda r: r[:2]):
-                    b = texts[d].as_py().encode()
-                    made.append((ids[d].as_py(), index.ids[x], n, e, chars(b, s), chars(b, z)))
-                cols = list(zip(*made, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], ["doc_id", "item_id", "n_windows", "edits", "start", "end"])
+                for d, x, n, places in sorted(search(texts, index), key=lambda r: r[:2]):
+                    at = code_points(texts[d].as_py().encode())
+                    regions = [{"start": int(at[s]), "end": int(at[z]), "edits": e} for s, z, e in places]
+                    best = min(regions, key=lambda r: r["edits"])
+                    made.append((ids[d].as_py(), index.ids[x], n, best["edits"], best["start"], best["end"], regions))
+                cols = list(zip(*made, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(REGION)], strict=True)], ["doc_id", "item_id", "n_windows", "edits", "start", "end", "regions"])
 
         part = docs.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)

@@ -116,4 +116,24 @@ def test_short_items_meet_no_chunk_seams(monkeypatch):
     for chunk in (1, 2, 3, 16, 1 << 20):
         monkeypatch.setattr(D, "CHUNK", chunk)
         D.powers.cache_clear()
-        assert [(d, s, z) for d, x, n, e, s, z in D.search(pa.array(rows), index)] == want, chunk
+        assert [(d, r[0][0], r[-1][1]) for d, x, n, r in D.search(pa.array(rows), index)] == want, chunk
+
+
+def test_every_region_is_returned(spark, make):
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    item, far = text(50), text(60)
+    part, other = item[40:200], edited(rng, item[90:250], 3)
+    bench = spark.createDataFrame([(1, item), (2, "short one")], "item_id long, text string")
+    parts = [text(20), part, f" {text(1)}", part, far, item, f"{text(4)} ", item, text(9), other, "é short one", " and Short one"]
+    body, at = "", []
+    for p in parts:
+        at.append(len(body))
+        body += p
+    rows = {r.item_id: r for r in D.contaminated(make([(5, body), (6, text(90)), (7, "z " + part)]), bench).where("doc_id = 5").collect()}
+    got, want = [(r.start, r.end, r.edits) for r in rows[1].regions], [(at[k], at[k] + len(parts[k])) for k in (1, 3, 5, 7, 9)]
+    assert len(got) == 5 and got[2:4] == [(*w, 0) for w in want[2:4]]
+    assert all(abs(s - a) < 17 and abs(z - b) < 17 for (s, z, _), (a, b) in zip(got, want, strict=True))
+    assert [e for *_, e in got[:4]] == [0] * 4 and got[4][2] <= 6 and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+    assert (rows[1].start, rows[1].end, rows[1].edits) == got[0]
+    assert [(r.start, r.end, r.edits) for r in rows[2].regions] == [(at[10] + 2, at[11], 0), (at[11] + 5, len(body), 0)]
