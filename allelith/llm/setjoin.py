@@ -418,12 +418,27 @@ def jaccard_components(docs: DataFrame, hot: int = HOT, hot_from: int = HOT_FROM
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose id is its component's smallest, once each; documents without shingles all stay."""
-    found = cut(jaccard_components(docs, **how))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    again = cut(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__again")))
+    """The rows of docs whose id is its component's smallest, once each; documents without shingles all stay. Rows without id
+    are nodes too, one for each text, and give way to any id (ids under 2 ** 62). Of rows that share an id that stays, one
+    of each group of texts stays, linked directly or through others of that id."""
+    docs, text = docs.withColumn("__id", F.col("doc_id").cast("long")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if not docs.where("__id is null").isEmpty():
+        most = max(0, docs.agg(F.max("__id")).first()[0] or 0)
+        docs = docs.withColumn("__id", F.coalesce("__id", F.lit(most + 1) + F.pmod(F.xxhash64(text), F.lit((1 << 63) - 1 - most))))
+    kept, again = _smallest(docs, how)
     if again.isEmpty():
-        return kept
-    one = kept.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id").cast("long") == F.col("__again"), "left_anti").unionByName(one)
+        return kept.drop("__id")
+    same = F.col("__id") == F.col("__again")
+    once = kept.join(again, same, "left_anti")
+    # each text of a shared id by itself
+    several, again = _smallest(cut(kept.join(again, same, "left_semi").withColumn("__id", F.xxhash64("__id", text))), how)
+    one = several.join(again, same, "left_semi").dropDuplicates(["__id"])
+    return reduce(DataFrame.unionByName, [once, several.join(again, same, "left_anti"), one]).drop("__id")
+
+
+def _smallest(docs: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose __id is its component's smallest, and the ids (__again) of more than one row with shingles."""
+    found = cut(jaccard_components(docs.select(F.col("__id").alias("doc_id"), "text"), **how))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    again = cut(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__again")))
+    return docs.join(gone, F.col("__id") == F.col("__gone"), "left_anti"), again

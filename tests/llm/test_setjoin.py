@@ -97,3 +97,14 @@ def test_empty_tables(make):
 def test_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in documents(spark, sf).collect()]
     compare(rows, J.jaccard_components(documents(spark, sf)).collect())
+
+
+def test_rows_without_id_or_with_a_shared_one(make):
+    words = [f"w{k}" for k in range(40)]
+    near, other, third = " ".join(words), " ".join(reversed(words)), " ".join(sorted(words))
+    rows = [(None, f"{near} end"), (None, near), (8, near), (None, other), (None, f"{other} end"), (None, other), (None, ""), (None, None), (None, "")]
+    rows += [(3, third), (3, f"{third} end"), (3, "quite another text of seven words here"), (3, ""), (3, ""), (4, third), (3, third)]
+    got = [(r.doc_id, r.text) for r in J.keep_one(make(rows)).collect()]
+    assert sorted(i or 0 for i, _ in got) == [0, 0, 0, 0, 3, 3, 3, 3, 8] and (8, near) in got
+    assert len({t for i, t in got if i is None and t} & {other, f"{other} end"}) == 1
+    assert len({t for i, t in got if i == 3} & {third, f"{third} end"}) == 1 and (3, "quite another text of seven words here") in got
