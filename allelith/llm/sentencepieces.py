@@ -1,18 +1,25 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
 The best segmentation is the one with the largest sum of piece scores; ties go to the earlier start of the last piece
-that differs. The search keeps scores for one window of the longest piece's length and back pointers only since the
-last committed boundary: once all paths that can still win run through one boundary, the ids before it are committed
-and dropped (paths that never meet keep their back pointers). Two kinds of boundary are known beforehand, since no piece of the vocabulary spans them: the one before a
-run of word marks, and those around a character that no piece holds. What lies between two such boundaries is searched
-on its own, and short stretches are remembered per worker.
+that differs. There is one search, `search`, for all text. It reads the text once and keeps scores and back pointers from
+the last committed boundary to the farthest end of a piece begun so far, which is the longest piece's length ahead at
+most. Once all paths that can still win run through one boundary, the ids before it are committed and everything up to
+it is dropped: at once if no piece reaches beyond the place read, else after walking the open ends back until they meet.
+Paths that never meet (one letter repeated) keep their back pointers, and no more than that, until they do.
+
+The search restarts with a clean state at each place where nothing reaches beyond. No piece of the vocabulary spans the
+place before a run of word marks, or holds a character of `apart`, so such places are sure to be met there, whatever
+follows; what the search committed from one of them to the next is remembered per worker, by the text between them and up
+to MEMO_CHARS characters of it. `n_commits` and `peak_window` report of each text how often paths met and the most
+characters that were ever held back.
 
 A character that no piece matches becomes its UTF-8 bytes, each a byte piece. A blank is written as a word mark, and
 one mark is put before the text, as the vocabulary file asks for; decoding undoes both.
 
 The vocabulary file is read on the driver and sent along (it is of fixed size). Defined cases: null and empty texts
-have no ids and decode to the empty text; a text that holds the word mark itself decodes to a blank there, as the
-format has it (round_trip is then false); repeated rows each give a row.
+have no ids, no commits and decode to the empty text; a text that holds the word mark itself decodes to a blank there, as
+the format has it (round_trip is then false); repeated rows each give a row; of other columns only doc_id and text are
+read, so that names can't clash.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -31,9 +39,12 @@ from .common import id_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Longer stretches are searched each time; shorter ones are remembered, so many of them at most.
-MEMO_CHARS, MEMO_SIZE = 48, 300_000
-SCHEMA = "doc_id long, n_tokens int, ids array<int>, text_sha256 string, round_trip boolean"
+#: Remembered stretches hold so many characters in all; then memory starts afresh.
+MEMO_CHARS = 4_000_000
+SCHEMA = "doc_id long, n_tokens int, ids array<int>, text_sha256 string, round_trip boolean, n_commits int, peak_window int"
+
+
+FIRST, SECOND, THIRD = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 class Vocabulary:
@@ -75,106 +86,101 @@ class Vocabulary:
         return [self.bytes_.get(b, self.unk_id) for b in c.encode("utf-8", "surrogatepass")]
 
 
-def segments(text: str, v: Vocabulary) -> Iterator[list[int]]:
-    """Lists of ids, each committed as soon as all surviving paths meet."""
-    n, longest, tree = len(text), v.longest, v.tree
-    # position -> (score, start of the last piece, its id or -1); positions before the committed boundary are dropped
-    best: dict[int, tuple[float, int, int]] = {0: (0.0, 0, -1)}
-    done, check = 0, 4 * longest
-
-    def path(start: int, end: int) -> list[int]:
-        out = []
-        while end > start:
-            _, s, i = best[end]
-            out.append([i] if i >= 0 else v.fallback(text[s:end]))
-            end = s
-        return list(chain.from_iterable(reversed(out)))
-
-    for at in range(n):
-        here = best[at][0]
-        single = False
-        node, end = tree, at
-        for c in text[at : at + longest]:
+def search(text: str, v: Vocabulary) -> Iterator[tuple[list[int], int, int]]:
+    """(ids, end, held) of each commit: the ids up to the boundary `end` at which all paths that can still win have met, and the
+    most characters held back for it."""
+    n, longest, tree, unknown, worst = len(text), v.longest, v.tree, v.unknown, float("-inf")
+    # by place from the committed boundary `done` on: best score, start of the last piece, its id or -1 for a character of its own
+    done, score, back, piece = 0, [0.0], [0], [-1]
+    at, check, held = 0, 4 * longest, 1
+
+    def path(end: int) -> list[int]:
+        out: list[int] = []
+        while end:
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:
+                out += reversed(v.fallback(text[done + back[end] : done + end]))
+            end = back[end]
+        out.reverse()
+        return out
+
+    while done + at < n:
+        here, single, node, end = score[at], False, tree, at
+        for c in text[done + at : done + at + longest]:
             if (got := node.get(c)) is None:
                 break
-            node, score, i = got
+            node, gain, i = got
             end += 1
-            if score is not None:
+            if gain is not None:
+                while len(score) <= end:
+                    score.append(worst)
+                    back.append(at)
+                    piece.append(-1)
+                if here + gain > score[end]:
+                    score[end], back[end], piece[end] = here + gain, at, i
                 single |= end == at + 1
-                score += here
-                if (old := best.get(end)) is None or score > old[0]:
-                    best[end] = (score, at, i)
+        at += 1
         if not single:
-            score = here + v.unknown
-            if (old := best.get(at + 1)) is None or score > old[0]:
-                best[at + 1] = (score, at, -1)
-        if at >= check:
-            # every path that can still win runs through a position of the window ahead; walk them back until they meet
-            heads = {p for p in range(at + 1, min(n, at + longest) + 1) if p in best}
+            if len(score) == at:
+                score.append(worst)
+                back.append(at - 1)
+                piece.append(-1)
+            if here + unknown > score[at]:
+                score[at], back[at], piece[at] = here + unknown, at - 1, -1
+        if len(score) == at + 1:
+            # nothing reaches beyond this place
+            yield path(at), done + at, max(held, at)
+            done, score, back, piece = done + at, [0.0], [0], [-1]
+            at, check, held = 0, 4 * longest, 1
+        elif at >= check:
+            heads = {p for p in range(at, len(score)) if score[p] > worst}
+            held = max(held, len(score) - 1)
             while len(heads) > 1:
                 last = max(heads)
                 heads.remove(last)
-                heads.add(best[last][1])
-            meet = heads.pop()
-            if meet > done:
-                yield path(done, meet)
-                for p in range(done, meet):
-                    best.pop(p, None)
-                done = meet
-            # paths that stay apart (as in one letter repeated) are looked at ever more rarely, so that the walks stay linear in all
-            check = at + max(4 * longest, at - done)
-    if done < n:
-        yield path(done, n)
-
-
-def short(text: str, v: Vocabulary) -> tuple[int, ...]:
-    """What segments() gives for a stretch that fits one window of memory: the same search on plain lists."""
-    n, tree, worst, longest = len(text), v.tree, float("-inf"), v.longest
-    best, back, ids = [worst] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    best[0] = 0.0
-    for at in range(n):
-        here, node, end, single = best[at], tree, at, False
-        for c in text[at : at + longest]:
-            if (got := node.get(c)) is None:
-                break
-            node, score, i = got
-            end += 1
-            if score is not None:
-                if end == at + 1:
-                    single = True
-                score += here
-                if score > best[end]:
-                    best[end], back[end], ids[end] = score, at, i
-        if not single and here + v.unknown > best[at + 1]:
-            best[at + 1], back[at + 1], ids[at + 1] = here + v.unknown, at, -1
-    out, end = [], n
-    while end:
-        if ids[end] >= 0:
-            out.append(ids[end])
-        else:
-            out += reversed(v.fallback(text[back[end] : end]))
-        end = back[end]
-    return tuple(reversed(out))
+                heads.add(back[last])
+            if meet := heads.pop():
+                yield path(meet), done + meet, held
+                done, at, held = done + meet, at - meet, 1
+                score, back, piece = [x - score[meet] for x in score[meet:]], [max(0, x - meet) for x in back[meet:]], piece[meet:]
+            # paths that stay apart are looked at ever more rarely, so that the walks stay linear in all
+            check = at + max(4 * longest, at)
+
+
+class Memory(dict):
+    """stretch -> (its ids, how often paths met in it, the most characters held back), as the search found them."""
+
+    def __init__(self, v: Vocabulary, most: int = MEMO_CHARS) -> None:
+        self.v, self.most, self.chars = v, most, 0
+
+    def __missing__(self, stretch: str) -> tuple[tuple[int, ...], int, int]:
+        ids, commits, peak, end = [], 0, 0, 0
+        for some, end, held in search(stretch, self.v):  # noqa: B007
+            ids += some
+            commits, peak = commits + 1, max(peak, held)
+        if end != len(stretch):
+            raise AssertionError("paths must meet where no piece reaches beyond")
+        got = tuple(ids), commits, peak
+        if (n := len(stretch)) <= self.most:
+            if self.chars + n > self.most:
+                self.clear()
+                self.chars = 0
+            self[stretch], self.chars = got, self.chars + n
+        return got
 
 
 class Codec:
     def __init__(self, model: bytes) -> None:
-        self.v, self.known = Vocabulary(model), {}
-
-    def _stretch(self, s: str) -> tuple[int, ...]:
-        if (got := self.known.get(s)) is None:
-            if len(s) > MEMO_CHARS:
-                return tuple(chain.from_iterable(segments(s, self.v)))
-            if len(self.known) >= MEMO_SIZE:
-                self.known.clear()
-            got = self.known[s] = short(s, self.v)
-        return got
+        self.v = Vocabulary(model)
+        self.known = Memory(self.v)
+
+    def stretches(self, text: str) -> list[tuple[tuple[int, ...], int, int]]:
+        """What the search committed, from each place that nothing reaches beyond to the next."""
+        return list(map(self.known.__getitem__, self.v.stretch.findall(MARK + text.replace(" ", MARK)))) if text else []
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        marked = MARK + text.replace(" ", MARK)
-        return np.fromiter(chain.from_iterable(map(self._stretch, self.v.stretch.findall(marked))), np.int32)
+        return np.fromiter(chain.from_iterable(map(FIRST, self.stretches(text))), np.int32)
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.v.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -187,7 +193,8 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 
 def encode_decode(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """ids of every whole text, and whether they decode to that text; text_sha256 is the decoded text's."""
+    """ids of every whole text, and whether they decode to that text; text_sha256 is the decoded text's; n_commits and
+    peak_window tell how often the search's paths met and the most characters it held back."""
     model = model_bytes(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +203,8 @@ def encode_decode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             for part in range(0, batch.num_rows, 512):
                 some = batch.slice(part, 512)
                 texts = some.column("text").to_pylist()
-                ids = [codec.encode(t or "") for t in texts]
+                found = [codec.stretches(t or "") for t in texts]
+                ids = [np.fromiter(chain.from_iterable(map(FIRST, x)), np.int32) for x in found]
                 back = [codec.decode(x.tolist()) for x in ids]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -206,8 +214,10 @@ def encode_decode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))),
                         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]),
                         pa.array([t == (s or "") for t, s in zip(back, texts, strict=True)]),
+                        pa.array([sum(map(SECOND, x)) for x in found], pa.int32()),
+                        pa.array([max(map(THIRD, x), default=0) for x in found], pa.int32()),
                     ],
-                    ["doc_id", "n_tokens", "ids", "text_sha256", "round_trip"],
+                    ["doc_id", "n_tokens", "ids", "text_sha256", "round_trip", "n_commits", "peak_window"],
                 )
 
     return id_text(docs).mapInArrow(run, SCHEMA)

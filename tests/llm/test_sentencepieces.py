@@ -34,13 +34,44 @@ def test_streaming_equals_whole_search():
         for alphabet in ("abc e", "the ing of\n", "aé世😀 \t", "aaaa", "- ="):
             t = "".join(rng.choice(alphabet) for _ in range(n))
             assert CODEC.encode(t).tolist() == whole(t), (n, alphabet)
-            assert list(i for part in S.segments(S.MARK + t.replace(" ", S.MARK), CODEC.v) for i in part) == (whole(t) or list(CODEC.encode(" ")[:0]) or [i for p in S.segments(S.MARK, CODEC.v) for i in p])
+            marked = S.MARK + t.replace(" ", S.MARK)
+            assert [i for ids, _, _ in S.search(marked, CODEC.v) for i in ids] == (whole(t) or [i for ids, _, _ in S.search(S.MARK, CODEC.v) for i in ids])
             assert CODEC.decode(CODEC.encode(t).tolist()) == t
 
 
 def test_window_stays_small():
-    parts = list(S.segments("abcdefgh" * 4000, CODEC.v))
-    assert len(parts) > 100 and max(map(len, parts)) < 400
+    parts = list(S.search("abcdefgh" * 4000, CODEC.v))
+    assert len(parts) > 100 and max(len(ids) for ids, _, _ in parts) < 400
+    assert [end for _, end, _ in parts] == sorted({end for _, end, _ in parts}) and parts[-1][1] == 32_000
+    assert max(held for _, _, held in parts) <= 16 * CODEC.v.longest
+
+
+def test_documents_are_committed_where_paths_meet(spark, sf):
+    """Over real texts: the search over whole texts, with no memory, commits at each place that memory relies on, gives its
+    ids, and never holds back more than a few of the longest piece's lengths."""
+    rows = {r.doc_id: r.text for r in documents(spark, sf).collect()}
+    got = {r.doc_id: r for r in S.encode_decode(documents(spark, sf)).collect()}
+    commits = chars = 0
+    for i, text in rows.items():
+        marked = S.MARK + (text or "").replace(" ", S.MARK)
+        found = list(S.search(marked, CODEC.v)) if text else []
+        assert [x for ids, _, _ in found for x in ids] == got[i].ids
+        ends, at = {end for _, end, _ in found}, 0
+        for stretch in CODEC.v.stretch.findall(marked) if text else ():
+            at += len(stretch)
+            assert at in ends
+        assert got[i].n_commits == len(found) and got[i].peak_window == max((held for _, _, held in found), default=0)
+        commits, chars = commits + len(found), chars + len(marked)
+    assert commits > chars / 20 and max(r.peak_window for r in got.values()) <= 16 * CODEC.v.longest
+
+
+def test_memory_gives_what_the_search_gives():
+    memory = S.Memory(CODEC.v, 40)
+    words = ["\u2581" + w for w in ("streaming", "a", "Viterbi", "x" * 100, "streaming", "boundary", "a")]
+    for w in words * 3:
+        found = list(S.search(w, CODEC.v))
+        assert memory[w] == (tuple(i for ids, _, _ in found for i in ids), len(found), max(held for _, _, held in found))
+        assert memory.chars == sum(map(len, memory)) <= 40
 
 
 def test_agrees_with_the_library_search_over_the_same_pieces(spark, sf):
