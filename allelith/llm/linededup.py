@@ -12,6 +12,11 @@ is a union of these.
 The runs looked up are, for each line, the shortest run of min_words words that begins there and the shortest that ends
 there: a line lies in a later copy of that many words or more if and only if one of those around it is a later copy.
 
+No step needs all rows of a common line or run together: counts are summed before they move; a rank's successors, which
+may be any number of lines, are numbered in RANGES ranges of their ranks; later copies are what is left of all runs once
+the first of each is taken out, by its own place, which no two runs share. The joins that bring ranks to suffixes have one row
+a key on one side, so that adaptive execution can split the other.
+
 Defined cases: null and empty texts have no lines and stay as they are; a document whose lines are all deleted has an
 empty text left; words are the blank-separated parts of a line; of documents with one id and different texts the one of
 smaller text hash comes first; rows that repeat id and text are one document, treated alike, and never copies of each
@@ -64,14 +69,17 @@ def first_ranks(found: DataFrame) -> DataFrame:
     return counted.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(offsets), "range").select("h1", "h2", (F.col("before") + F.col("upto") - F.col("c") + 1).alias("r"))
 
 
-def doubled(at: DataFrame, depth: int) -> DataFrame:
-    """at with column r{2 * depth}: ranks by twice as many lines, null where the stretch of repeated lines ends before."""
+def doubled(at: DataFrame, depth: int, top: int) -> DataFrame:
+    """at with column r{2 * depth}: ranks by twice as many lines, null where the stretch of repeated lines ends before. top:
+    the largest rank."""
     r, new = f"r{depth}", f"r{2 * depth}"
     along = Window.partitionBy("doc_id", "th").orderBy("i")
     at = at.withColumn("n", F.when(F.lead("i", depth).over(along) == F.col("i") + depth, F.lead(r, depth).over(along)))
-    pairs = at.where("n is not null").groupBy(r, "n").agg(F.count(F.lit(1)).alias("c"))
-    # of the suffixes of one rank, those whose stretch ends come first
-    ranks = pairs.select(r, "n", (F.col(r) + F.sum("c").over(Window.partitionBy(r).orderBy("n")) - F.col("c")).alias(new))
+    pairs = at.where("n is not null").groupBy(r, "n").agg(F.count(F.lit(1)).alias("c")).withColumn("range", F.floor(F.col("n") / (top // RANGES + 1)))
+    # of the suffixes of one rank, those whose stretch ends come first; RANGES rows a rank at most
+    offsets = pairs.groupBy(r, "range").agg(F.sum("c").alias("c")).select(r, "range", (F.sum("c").over(Window.partitionBy(r).orderBy("range")) - F.col("c")).alias("before"))
+    inside = Window.partitionBy(r, "range").orderBy("n")
+    ranks = pairs.withColumn("upto", F.sum("c").over(inside)).join(offsets, [r, "range"]).select(r, "n", (F.col(r) + F.col("before") + F.col("upto") - F.col("c")).alias(new))
     a, b = at.alias("a"), ranks.alias("b")
     return cut(a.join(b, (F.col(f"a.{r}") == F.col(f"b.{r}")) & (F.col("a.n") == F.col("b.n")), "left").select("a.*", f"b.{new}").drop("n"))
 
@@ -90,10 +98,10 @@ def suffixes(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, in
     at = at.withColumn("fore", F.when(F.max("upto").over(ahead) - F.col("before") >= min_words, F.max("i").over(ahead) - F.col("i") + 1))
     at = at.withColumn("hind", F.when(F.col("upto") - F.min("before").over(back) >= min_words, F.col("i") - F.min("i").over(back) + 1))
     at = cut(at.select(*KEY, "i", "p", "s", "r1", "fore", "hind"))
-    most = at.agg(F.max(F.greatest("fore", "hind"))).first()[0] or 1
+    most, top = (x or 1 for x in at.agg(F.max(F.greatest("fore", "hind")), F.max("r1")).first())
     depth = 1
     while 2 * depth <= most:
-        at, depth = doubled(at, depth), 2 * depth
+        at, depth = doubled(at, depth, top), 2 * depth
     return at, depth
 
 
@@ -117,9 +125,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .select(*(f"x.{c}" for c in (*KEY, "i", "n")), pick("a").alias("u"), pick("b").alias("v"))
     )
     named = cut(named)
-    place = F.struct(*KEY, "i")
-    first = named.groupBy("n", "u", "v").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    copies = named.join(first, ["n", "u", "v"]).where(place > F.col("first"))
+    first = named.groupBy("n", "u", "v").agg(F.min(F.struct(*KEY, "i")).alias("f")).select("n", "f.*")
+    f, x = first.alias("f"), named.alias("x")
+    copies = x.join(f, _same("x", "f", (*KEY, "i", "n")), "left_anti")
     gone = copies.select(*KEY, F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i")).dropDuplicates([*KEY, "i"])
     g, a = gone.alias("g"), at.alias("a")
     gone = g.join(a, _same("g", "a", (*KEY, "i"))).select(*(f"g.{c}" for c in (*KEY, "i")), "a.p")
