@@ -32,9 +32,18 @@ def stored(df: DataFrame, name: str = "cut") -> DataFrame:
     the planner wouldn't know its size.)"""
     folder = own_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of stored results that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._folder)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
