@@ -26,8 +26,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -39,8 +39,8 @@ from .common import id_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Remembered stretches hold so many characters in all; then memory starts afresh.
-MEMO_CHARS = 4_000_000
+#: Remembered stretches hold so many characters at most.
+MEMO_CHARS = 10_000_000
 SCHEMA = "doc_id long, n_tokens int, ids array<int>, text_sha256 string, round_trip boolean, n_commits int, peak_window int"
 
 
@@ -90,97 +90,108 @@ def search(text: str, v: Vocabulary) -> Iterator[tuple[list[int], int, int]]:
     """(ids, end, held) of each commit: the ids up to the boundary `end` at which all paths that can still win have met, and the
     most characters held back for it."""
     n, longest, tree, unknown, worst = len(text), v.longest, v.tree, v.unknown, float("-inf")
-    # by place from the committed boundary `done` on: best score, start of the last piece, its id or -1 for a character of its own
-    done, score, back, piece = 0, [0.0], [0], [-1]
-    at, check, held = 0, 4 * longest, 1
-
-    def path(end: int) -> list[int]:
-        out: list[int] = []
-        while end:
-            if piece[end] >= 0:
-                out.append(piece[end])
-            else:
-                out += reversed(v.fallback(text[done + back[end] : done + end]))
-            end = back[end]
-        out.reverse()
-        return out
-
-    while done + at < n:
-        here, single, node, end = score[at], False, tree, at
-        for c in text[done + at : done + at + longest]:
-            if (got := node.get(c)) is None:
+    done = 0
+    while done < n:
+        # by place from the committed boundary `done` on: best score, start of the last piece, its id or -1 for a character of its own
+        size = min(n - done, 4 * longest)
+        score, back, piece = [worst] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
+        score[0], at, reach, held = 0.0, 0, 0, 0
+        while True:
+            if at + longest > size and done + size < n:
+                # the ends of paths that are open are walked back until they meet; what is before is committed and dropped
+                heads = {p for p in range(at, reach + 1) if score[p] > worst}
+                held = max(held, reach)
+                while len(heads) > 1:
+                    last = max(heads)
+                    heads.remove(last)
+                    heads.add(back[last])
+                if meet := heads.pop():
+                    yield path(text, v, done, back, piece, meet), done + meet, held
+                    done, at, reach, held, base = done + meet, at - meet, reach - meet, 0, score[meet]
+                    score, back, piece = [x - base for x in score[meet : meet + reach + 1]], [max(0, x - meet) for x in back[meet : meet + reach + 1]], piece[meet : meet + reach + 1]
+                # paths that stay apart are looked at ever more rarely, so that the walks stay linear in all
+                size = min(n - done, at + max(4 * longest, at))
+                more = size + 1 - len(score)
+                score, back, piece = score + [worst] * more, back + [0] * more, piece + [-1] * more
+            here, end, node, first = score[at], at, tree, at + 1
+            for c in text[done + at : done + at + longest]:
+                if (got := node.get(c)) is None:
+                    break
+                node, gain, i = got
+                end += 1
+                if gain is not None:
+                    gain += here
+                    if end == first:
+                        first = 0
+                    if gain > score[end]:
+                        score[end], back[end], piece[end] = gain, at, i
+                    if end > reach:
+                        reach = end
+            at += 1
+            if first:
+                if here + unknown > score[at]:
+                    score[at], back[at], piece[at] = here + unknown, at - 1, -1
+                if at > reach:
+                    reach = at
+            if reach == at:
+                # nothing reaches beyond this place
+                yield path(text, v, done, back, piece, at), done + at, max(held, at)
+                done += at
                 break
-            node, gain, i = got
-            end += 1
-            if gain is not None:
-                while len(score) <= end:
-                    score.append(worst)
-                    back.append(at)
-                    piece.append(-1)
-                if here + gain > score[end]:
-                    score[end], back[end], piece[end] = here + gain, at, i
-                single |= end == at + 1
-        at += 1
-        if not single:
-            if len(score) == at:
-                score.append(worst)
-                back.append(at - 1)
-                piece.append(-1)
-            if here + unknown > score[at]:
-                score[at], back[at], piece[at] = here + unknown, at - 1, -1
-        if len(score) == at + 1:
-            # nothing reaches beyond this place
-            yield path(at), done + at, max(held, at)
-            done, score, back, piece = done + at, [0.0], [0], [-1]
-            at, check, held = 0, 4 * longest, 1
-        elif at >= check:
-            heads = {p for p in range(at, len(score)) if score[p] > worst}
-            held = max(held, len(score) - 1)
-            while len(heads) > 1:
-                last = max(heads)
-                heads.remove(last)
-                heads.add(back[last])
-            if meet := heads.pop():
-                yield path(meet), done + meet, held
-                done, at, held = done + meet, at - meet, 1
-                score, back, piece = [x - score[meet] for x in score[meet:]], [max(0, x - meet) for x in back[meet:]], piece[meet:]
-            # paths that stay apart are looked at ever more rarely, so that the walks stay linear in all
-            check = at + max(4 * longest, at)
+
+
+def path(text: str, v: Vocabulary, done: int, back: list[int], piece: list[int], end: int) -> list[int]:
+    """The ids of the best path from the boundary `done` to `end` places after it."""
+    out: list[int] = []
+    while end:
+        if piece[end] >= 0:
+            out.append(piece[end])
+        else:
+            out += reversed(v.fallback(text[done + back[end] : done + end]))
+        end = back[end]
+    out.reverse()
+    return out
 
 
 class Memory(dict):
-    """stretch -> (its ids, how often paths met in it, the most characters held back), as the search found them."""
+    """stretch -> (its ids as bytes, how often paths met in it, the most characters held back), as the search found them. Of what
+    wasn't asked for since memory was last half full, nothing is kept."""
 
     def __init__(self, v: Vocabulary, most: int = MEMO_CHARS) -> None:
-        self.v, self.most, self.chars = v, most, 0
-
-    def __missing__(self, stretch: str) -> tuple[tuple[int, ...], int, int]:
-        ids, commits, peak, end = [], 0, 0, 0
-        for some, end, held in search(stretch, self.v):  # noqa: B007
-            ids += some
-            commits, peak = commits + 1, max(peak, held)
-        if end != len(stretch):
-            raise AssertionError("paths must meet where no piece reaches beyond")
-        got = tuple(ids), commits, peak
-        if (n := len(stretch)) <= self.most:
-            if self.chars + n > self.most:
+        self.v, self.half, self.chars, self.older = v, most // 2, 0, {}
+
+    def __missing__(self, stretch: str) -> tuple[bytes, int, int]:
+        if (got := self.older.get(stretch)) is None:
+            ids, commits, peak, end = [], 0, 0, 0
+            for some, end, held in search(stretch, self.v):  # noqa: B007
+                ids += some
+                commits, peak = commits + 1, max(peak, held)
+            if end != len(stretch):
+                raise AssertionError("paths must meet where no piece reaches beyond")
+            got = array("i", ids).tobytes(), commits, peak
+        if (n := len(stretch)) <= self.half:
+            if self.chars + n > self.half:
+                self.older, self.chars = dict(self), 0
                 self.clear()
-                self.chars = 0
             self[stretch], self.chars = got, self.chars + n
         return got
 
 
+def ids_of(found: list[tuple[bytes, int, int]]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(FIRST, found)), np.int32)
+
+
 class Codec:
     def __init__(self, model: bytes) -> None:
         self.v = Vocabulary(model)
         self.known = Memory(self.v)
 
-    def stretches(self, text: str) -> list[tuple[tuple[int, ...], int, int]]:
+    def stretches(self, text: str) -> list[tuple[bytes, int, int]]:
         """What the search committed, from each place that nothing reaches beyond to the next."""
         return list(map(self.known.__getitem__, self.v.stretch.findall(MARK + text.replace(" ", MARK)))) if text else []
 
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(FIRST, self.stretches(text))), np.int32)
+        return ids_of(self.stretches(text))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.v.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -204,7 +215,7 @@ def encode_decode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 some = batch.slice(part, 512)
                 texts = some.column("text").to_pylist()
                 found = [codec.stretches(t or "") for t in texts]
-                ids = [np.fromiter(chain.from_iterable(map(FIRST, x)), np.int32) for x in found]
+                ids = list(map(ids_of, found))
                 back = [codec.decode(x.tolist()) for x in ids]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -70,8 +70,9 @@ def test_memory_gives_what_the_search_gives():
     words = ["\u2581" + w for w in ("streaming", "a", "Viterbi", "x" * 100, "streaming", "boundary", "a")]
     for w in words * 3:
         found = list(S.search(w, CODEC.v))
-        assert memory[w] == (tuple(i for ids, _, _ in found for i in ids), len(found), max(held for _, _, held in found))
-        assert memory.chars == sum(map(len, memory)) <= 40
+        assert S.ids_of([memory[w]]).tolist() == [i for ids, _, _ in found for i in ids]
+        assert memory[w][1:] == (len(found), max(held for _, _, held in found))
+        assert memory.chars == sum(map(len, memory)) <= 20 and sum(map(len, memory.older)) <= 20
 
 
 def test_agrees_with_the_library_search_over_the_same_pieces(spark, sf):
