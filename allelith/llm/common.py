@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import own_folder, remove, shared_folder
+
+__all__ = ["cut", "documents", "dropped", "id_text", "own_folder", "remove", "shared_folder", "stored", "table", "text_or_empty"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,20 +23,19 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"{tempfile.gettempdir()}/allelith-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, its lineage cut by files in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    return cut(df)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Checkpoints go with the session."""
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))

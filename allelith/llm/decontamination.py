@@ -9,7 +9,8 @@ slides along the item; windows that reach the bound in a band are aligned with t
 are never written out: the index holds each q-gram of an item once.
 
 Texts are scanned where they are read, with no shuffle. Items are taken to the executors in slices of SLICE_BYTES at
-most, one pass over the texts for each slice, so that nothing of unbounded size is ever broadcast.
+most, one pass over the texts for each slice, so that nothing of unbounded size is ever broadcast. Where there are several,
+what a slice found is written out before the next is taken, so that the driver holds one slice at a time.
 
 Items under LEAST bytes, which with edits could not be told from chance, are looked for without any, their outer blanks
 apart, where no letter or digit adjoins one of theirs; each has one window. Their hashes are met by those of a text's
@@ -20,9 +21,9 @@ Defined cases: null and empty texts hold nothing; null items and those of white
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, buffers
-from .common import id_text
+from .common import id_text, stored
 
 Q = 10
 WINDOW = 100
@@ -319,54 +320,70 @@ def similar(raw: np.ndarray, offsets: np.ndarray, index: Index) -> Iterator[tupl
             yield p // len(index.ids), p % len(index.ids), len({h[0] for h in hits}), disjoint([(i, j, e) for _, e, i, j in hits], int(index.width[p % len(index.ids)]) // 2)
 
 
+def slice_count(benchmark: DataFrame, most: int = SLICE_BYTES) -> int:
+    return (benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // most + 1
+
+
 def slices(benchmark: DataFrame, most: int = SLICE_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The items in lists of about `most` bytes, by ranges of a hash; each is taken to the driver alone."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = size // most + 1
+    n = slice_count(benchmark, most)
     for i in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SLICE_BYTES) -> DataFrame:
     """One row for each document and item of which it holds a window: how many windows, the fewest edits, the first of the
     regions with so few, and all regions: the places of its windows, joined where they overlap. A region may
     reach over its passage by what its windows' edits allow."""
-    docs, out = id_text(docs), None
-    for items in slices(benchmark):
-        found = windows(items)
-
-        def run(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
-            index = Index(found)
-            for batch in batches:
-                texts, ids, made = batch.column("text"), batch.column("doc_id"), []
-                for d, x, n, places in sorted(search(texts, index), key=lambda r: r[:2]):
-                    at = code_points(texts[d].as_py().encode())
-                    regions = [{"start": int(at[s]), "end": int(at[z]), "edits": e} for s, z, e in places]
-                    best = min(regions, key=lambda r: r["edits"])
-                    made.append((ids[d].as_py(), index.ids[x], n, best["edits"], best["start"], best["end"], regions))
-                cols = list(zip(*made, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(REGION)], strict=True)], ["doc_id", "item_id", "n_windows", "edits", "start", "end", "regions"])
-
-        part = docs.mapInArrow(run, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no window of any item, all columns as they were."""
-    for items in slices(benchmark):
-        found = windows(items)
-
-        @F.pandas_udf("boolean")
-        def free(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Index(found)  # noqa: B023  pickled here, before the next slice
-            for text in texts:
-                keep = np.ones(len(text), bool)
-                for d, *_ in search(pa.array(text, pa.large_string(), from_pandas=True), index):
-                    keep[d] = False
-                yield pd.Series(keep)
-
-        docs = docs.where(free(F.col("text").cast("string")))
-    return docs
+    docs = id_text(docs)
+    if slice_count(benchmark, most) == 1:
+        return docs.mapInArrow(finder(next(slices(benchmark, most))), SCHEMA)
+    return reduce(DataFrame.unionByName, (stored(docs.mapInArrow(finder(items), SCHEMA)) for items in slices(benchmark, most)))
+
+
+def finder(items: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes rows of SCHEMA from batches of (doc_id, text)."""
+    found = windows(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(found)
+        for batch in batches:
+            texts, ids, made = batch.column("text"), batch.column("doc_id"), []
+            for d, x, n, places in sorted(search(texts, index), key=lambda r: r[:2]):
+                at = code_points(texts[d].as_py().encode())
+                regions = [{"start": int(at[s]), "end": int(at[z]), "edits": e} for s, z, e in places]
+                best = min(regions, key=lambda r: r["edits"])
+                made.append((ids[d].as_py(), index.ids[x], n, best["edits"], best["start"], best["end"], regions))
+            cols = list(zip(*made, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.list_(REGION)], strict=True)], ["doc_id", "item_id", "n_windows", "edits", "start", "end", "regions"])
+
+    return run
+
+
+def freedom(items: list[tuple[int, str]]):
+    """A function of a text column: whether the text holds no window of any of the items."""
+    found = windows(items)
+
+    @F.pandas_udf("boolean")
+    def free(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(found)
+        for text in texts:
+            keep = np.ones(len(text), bool)
+            for d, *_ in search(pa.array(text, pa.large_string(), from_pandas=True), index):
+                keep[d] = False
+            yield pd.Series(keep)
+
+    return free
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, most: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs that hold no window of any item, all columns as they were. With one slice of items texts stay where they
+    are read; with several, the hashes of texts found in each are written and their rows left out at the end."""
+    text = F.col("text").cast("string")
+    if slice_count(benchmark, most) == 1:
+        return docs.where(freedom(next(slices(benchmark, most)))(text))
+    key = [F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), text).alias("__b")]
+    gone = reduce(DataFrame.unionByName, (stored(docs.where(~freedom(items)(text)).select(*key)) for items in slices(benchmark, most))).distinct()
+    return docs.join(gone, (key[0] == F.col("__a")) & (key[1] == F.col("__b")), "left_anti")

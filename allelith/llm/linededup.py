@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 MIN_WORDS = 50
 #: The first ranks are counted in ranges of the fingerprint, whose offsets are a table of this many rows.
@@ -62,7 +62,7 @@ def _same(a: str, b: str, cols) -> Column:
 
 def first_ranks(found: DataFrame) -> DataFrame:
     """(h1, h2, r) of every line that occurs more than once: r is one plus the occurrences of smaller fingerprints."""
-    counted = cut(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("range", F.shiftright("h1", 52) + RANGES // 2))
+    counted = stored(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("range", F.shiftright("h1", 52) + RANGES // 2))
     # RANGES rows at most
     offsets = counted.groupBy("range").agg(F.sum("c").alias("c")).select("range", (F.sum("c").over(Window.orderBy("range")) - F.col("c")).alias("before"))
     inside = Window.partitionBy("range").orderBy("h1", "h2")
@@ -81,7 +81,7 @@ def doubled(at: DataFrame, depth: int, top: int) -> DataFrame:
     inside = Window.partitionBy(r, "range").orderBy("n")
     ranks = pairs.withColumn("upto", F.sum("c").over(inside)).join(offsets, [r, "range"]).select(r, "n", (F.col(r) + F.col("before") + F.col("upto") - F.col("c")).alias(new))
     a, b = at.alias("a"), ranks.alias("b")
-    return cut(a.join(b, (F.col(f"a.{r}") == F.col(f"b.{r}")) & (F.col("a.n") == F.col("b.n")), "left").select("a.*", f"b.{new}").drop("n"))
+    return stored(a.join(b, (F.col(f"a.{r}") == F.col(f"b.{r}")) & (F.col("a.n") == F.col("b.n")), "left").select("a.*", f"b.{new}").drop("n"))
 
 
 def suffixes(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, int]:
@@ -97,7 +97,7 @@ def suffixes(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, in
     back = Window.partitionBy(*KEY, "s").orderBy("upto").rangeBetween(-(min_words - 1), 0)
     at = at.withColumn("fore", F.when(F.max("upto").over(ahead) - F.col("before") >= min_words, F.max("i").over(ahead) - F.col("i") + 1))
     at = at.withColumn("hind", F.when(F.col("upto") - F.min("before").over(back) >= min_words, F.col("i") - F.min("i").over(back) + 1))
-    at = cut(at.select(*KEY, "i", "p", "s", "r1", "fore", "hind"))
+    at = stored(at.select(*KEY, "i", "p", "s", "r1", "fore", "hind"))
     most, top = (x or 1 for x in at.agg(F.max(F.greatest("fore", "hind")), F.max("r1")).first())
     depth = 1
     while 2 * depth <= most:
@@ -124,7 +124,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .join(b, _same("x", "b", KEY) & (F.col("x.i") + F.col("x.n") - F.expr("shiftleft(1, x.k)") == F.col("b.i")))
         .select(*(f"x.{c}" for c in (*KEY, "i", "n")), pick("a").alias("u"), pick("b").alias("v"))
     )
-    named = cut(named)
+    named = stored(named)
     first = named.groupBy("n", "u", "v").agg(F.min(F.struct(*KEY, "i")).alias("f")).select("n", "f.*")
     f, x = first.alias("f"), named.alias("x")
     copies = x.join(f, _same("x", "f", (*KEY, "i", "n")), "left_anti")

@@ -9,7 +9,9 @@ Fitted on `sample_rows` rows at most whose crc32(doc_id) mod 4 isn't 2; the logi
 best on a quarter of them, which the fit did not see, is a score of 0.7. Every document is scored.
 
 Defined cases: null and empty texts have no words and the statistics of an empty text; without both classes among the
-labels the score is their rate; a null doc_id is scored, held_out null; repeated rows each give a row.
+labels the score is their rate; a null doc_id is scored, held_out null; repeated rows each give a row; a score of 0.7
+itself is predicted 1; a document labelled twice keeps its larger label; of documents only doc_id and text are read, so
+that names can't clash.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ so a's answer follows from m's without touching the sets where either bound deci
 many are compared among themselves in blocks, of which only a spanning forest of links comes back. What is left is verified on whole
 sets. Every link between two sets is either verified, derived, or runs within one component, so components are exact.
 
-Shingles are 64-bit hashes. Frequent shingles that are ordered last are HOT at most, a matter of speed alone. Sets to
-verify are made where texts are read if their ids number MOST_IDS at most, else after a semi-join by id.
+Shingles are 64-bit hashes. The HOT most frequent ones are ordered last, a matter of speed alone. As they are the most
+frequent, any other shingle counted is in one HOT-th of all prefix entries at most, less than a task's share, so its list may be taken whole by
+a window; the lists of hot ones are joined with their heads instead, which splits. Sets to verify are made after a semi-join of
+the texts with a written table of ids, which the planner sends to the texts if its files are small, else by a shuffle.
 
 Defined cases: a null or empty text and one of white space have no shingles and are linked with nothing; fewer than five
 words are one shingle; rows that share an id are one node; a row without id takes its class's component, or null.
@@ -34,11 +36,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytetext import LOWER, buffers
-from .common import cut, id_text
+from .common import cut, dropped, id_text, own_folder, stored
 
 SHINGLE = 5
 HOT, HOT_FROM = 200_000, 12
-MOST_IDS = 2_000_000
 SLICE = 256
 EDGES_A_PART = 200_000
 #: Leaders compared with so many sets have those compared among themselves in blocks.
@@ -207,22 +208,16 @@ def summaries(docs: DataFrame, order: Order) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, a long, b long, cold long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, x): whole sets of the rows whose id is in ids (one column, distinct)."""
-    few = ids.limit(most + 1).collect() if ids.count() <= most else None
-    wanted = None if few is None else np.sort(np.array([r[0] for r in few], np.int64))
-    if wanted is None:
-        docs = docs.join(ids.toDF("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    spark, folder = docs.sparkSession, own_folder(docs.sparkSession, "ids")
+    # read again, the table's size is known to the planner
+    ids.toDF("__id").write.parquet(folder)
+    docs = docs.join(spark.read.parquet(folder), F.col("doc_id") == F.col("__id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Shingles()
         for batch in batches:
-            if wanted is not None:
-                own = batch.column("doc_id")
-                at = np.searchsorted(wanted, got := own.fill_null(0).to_numpy(zero_copy_only=False))
-                here = (at < len(wanted)) & ~own.is_null().to_numpy(zero_copy_only=False)
-                here[here] = wanted[at[here]] == got[here]
-                batch = batch.filter(pa.array(here))
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = made(part.column("text"))
@@ -234,16 +229,16 @@ def whole_sets(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, x array<long>").where(F.size("x") > 0)
 
 
-def sets_for(pairs: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+def sets_for(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, x) of every member of pairs (u, v)."""
-    return cut(whole_sets(docs, cut(pairs.select("u").union(pairs.select("v")).distinct()), most))
+    return stored(whole_sets(docs, pairs.select("u").union(pairs.select("v")).distinct()))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (u, v) that both have sets, with n_u, n_v and their overlap o."""
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("x").alias("xu")), "u")
     both = left.join(sets.select(F.col("id").alias("v"), F.col("x").alias("xv")), "v")
-    return cut(both.select("u", "v", F.size("xu").cast("long").alias("n_u"), F.size("xv").cast("long").alias("n_v"), F.size(F.array_intersect("xu", "xv")).cast("long").alias("o")))
+    return stored(both.select("u", "v", F.size("xu").cast("long").alias("n_u"), F.size("xv").cast("long").alias("n_v"), F.size(F.array_intersect("xu", "xv")).cast("long").alias("o")))
 
 
 def linked(o: Column, n: Column, m: Column) -> Column:
@@ -254,16 +249,16 @@ def linked(o: Column, n: Column, m: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id of each id's component, by least labels with pointer jumping."""
     edges = edges.where("u <> v")
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     # a small graph is kept in few partitions
     parts = both.count() // EDGES_A_PART + 1
     both = both.coalesce(parts)
-    label = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")).select("id", F.least("id", "v").alias("comp")).coalesce(parts))
+    label = stored(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")).select("id", F.least("id", "v").alias("comp")).coalesce(parts))
     while True:
         near = both.join(label.select(F.col("id").alias("v"), "comp"), "v").groupBy(F.col("u").alias("id")).agg(F.min("comp").alias("near"))
-        low = cut(label.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")).coalesce(parts))
+        low = stored(label.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")).coalesce(parts))
         jump = low.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        label = cut(low.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")).coalesce(parts))
+        label = stored(low.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")).coalesce(parts))
         if label.where("comp <> old").isEmpty():
             return label.select("id", "comp")
         label = label.select("id", "comp")
@@ -346,7 +341,7 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
         "least_n": F.min("n"), "most_n": F.max("n"), "pos": F.max("pos"), "rest": F.max(F.col("n") - F.col("pos")),
         "hot": F.max("hot"), "open": F.max(~F.col("answered")), "is_hot": F.max(F.col("pos") >= F.col("n") - F.col("hot")), "shared": F.max(F.coalesce("o", "n")), "own": F.max(F.col("n") - F.coalesce("o", F.lit(0))),
     }
-    blocks = cut(lists.groupBy("h", "comp").agg(*(v.alias(k) for k, v in extremes.items())))
+    blocks = stored(lists.groupBy("h", "comp").agg(*(v.alias(k) for k, v in extremes.items())))
     one, two = blocks.alias("a"), blocks.alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     least = 4 * (a("least_n") + b("least_n"))
@@ -373,39 +368,41 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
     return found.where(F.col("sure") | (F.col("k") >= F.col("enough"))).select("u", "v", "sure")
 
 
-def jaccard_components(docs: DataFrame, hot: int = HOT, hot_from: int = HOT_FROM, most_ids: int = MOST_IDS, family: int = FAMILY) -> DataFrame:
+def jaccard_components(docs: DataFrame, hot: int = HOT, hot_from: int = HOT_FROM, family: int = FAMILY) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id."""
     spark, docs = docs.sparkSession, id_text(docs)
     order = hot_shingles(docs, hot, hot_from)
-    made = cut(summaries(docs, order))
-    classes = cut(made.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.first("cold").alias("cold"), F.first("prefix").alias("prefix")))
-    made = cut(made.select("doc_id", "n", "a", "b"))
+    found = stored(summaries(docs, order))
+    indexed = stored(found.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.first("cold").alias("cold"), F.first("prefix").alias("prefix")))
+    made = stored(found.select("doc_id", "n", "a", "b"))
+    dropped(found)
     forget(spark)
-    lists = cut(shared_lists(classes))
-    classes = cut(classes.select("n", "a", "b", "id"))
+    lists = stored(shared_lists(indexed))
+    classes = stored(indexed.select("n", "a", "b", "id"))
+    dropped(indexed)
     forget(spark)
 
     stars = lists.where("id <> m").groupBy(F.col("m").alias("u"), F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-    pairs = cut(stars.where("3 * k >= 1 + floor(n / 20)").select("u", "v"))
-    sets = sets_for(pairs, docs, most_ids)
+    pairs = stored(stars.where("3 * k >= 1 + floor(n / 20)").select("u", "v"))
+    sets = sets_for(pairs, docs)
     tested = overlaps(pairs, sets)
     links = tested.where(linked(F.col("o"), F.col("n_u"), F.col("n_v"))).select("u", "v")
-    big = cut(tested.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= family))
-    links = cut(links.union(family_links(tested, big, sets)))
+    big = stored(tested.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= family))
+    links = stored(links.union(family_links(tested, big, sets)))
     comps = components(links)
-    del sets, pairs
+    dropped(sets, pairs)
     forget(spark)
 
     placed = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
     known = tested.join(big.select("u", F.lit(True).alias("answered")), "u", "left").select(F.col("u").alias("m"), F.col("v").alias("id"), "o", F.col("n_u").alias("n_m"), F.coalesce("answered", F.lit(False)).alias("answered"))
-    left = cut(placed.join(mixed, "h").join(known, ["m", "id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False))))
-    del lists, placed, mixed, stars
+    left = stored(placed.join(mixed, "h").join(known, ["m", "id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False))))
+    dropped(lists)
     forget(spark)
-    pairs = cut(cross_pairs(left).join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+    pairs = stored(cross_pairs(left).join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
     forget(spark)
     unsure = pairs.where("not sure").select("u", "v")
-    more = overlaps(unsure, sets_for(unsure, docs, most_ids))
+    more = overlaps(unsure, sets_for(unsure, docs))
     rest = more.where(linked(F.col("o"), F.col("n_u"), F.col("n_v"))).select("u", "v").union(pairs.where("sure").select("u", "v"))
 
     own = made.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "id"), ["n", "a", "b"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id"))
@@ -438,7 +435,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def _smallest(docs: DataFrame, how: dict) -> tuple[DataFrame, DataFrame]:
     """Rows of docs whose __id is its component's smallest, and the ids (__again) of more than one row with shingles."""
-    found = cut(jaccard_components(docs.select(F.col("__id").alias("doc_id"), "text"), **how))
+    found = stored(jaccard_components(docs.select(F.col("__id").alias("doc_id"), "text"), **how))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    again = cut(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__again")))
+    again = stored(found.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__again")))
     return docs.join(gone, F.col("__id") == F.col("__gone"), "left_anti"), again

@@ -7,7 +7,9 @@ its expected grade; it is rejected where P(grade > 0) reaches the cut that did b
 
 Fitted on `sample_rows` labelled rows at most; every document is scored. Defined cases: a null or empty text has no
 words and is scored from the cuts alone; without both classes among the labels every severity is 0 and nothing is
-rejected; repeated rows each give a row.
+rejected; repeated rows each give a row; a score at the cut is rejected; of cuts that do equally well the one nearest to a
+half is taken, then the smaller; a document labelled twice keeps its larger label; labels without id or value are left
+out; of documents only doc_id and text are read, so that names can't clash.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text
+from .common import id_text, stored
 from .wordfeatures import WORD, collected, csr, labelled_sample
 
 DIMS = 1 << 18
@@ -155,7 +157,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
                 part = b.iloc[i : i + 256]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "y": part["y"], "x": [distinct_buckets(t or "").astype(np.int32) for t in part["text"]]})
 
-    found = cut(labelled_sample(docs, labels, "toxic", sample_rows).mapInPandas(run, "doc_id long, y int, x array<int>"))
+    found = stored(labelled_sample(docs, labels, "toxic", sample_rows).mapInPandas(run, "doc_id long, y int, x array<int>"))
     found = found.withColumn("held", F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)) == 0)
     totals = {r.y: r.n for r in found.where("not held").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
@@ -167,8 +169,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
         .where((F.col("n") >= LEAST_ROWS) & (F.abs(F.col("bad") / n1 - (F.col("n") - F.col("bad")) / n0) >= LEAST_Z * F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))))
     )
     # at most DIMS buckets, whatever the sample
-    kept = F.array_intersect("x", F.lit(sorted(r.b for r in chosen.select("b").collect())).cast("array<int>"))
-    got = collected(found.select("doc_id", "y", "held", kept.alias("x")))
+    names = np.array(sorted(r.b for r in chosen.select("b").collect()), np.int32)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(x=[np.intersect1d(x, names, assume_unique=True) for x in b["x"]])
+
+    got = collected(found.select("doc_id", "y", "held", "x").mapInPandas(keep, "doc_id long, y int, held boolean, x array<int>"))
     return fit([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(np.int64), got["held"].to_numpy(bool))
 
 

@@ -56,6 +56,9 @@ def test_regions_equal_brute_force(spark, make):
     kept = D.keep_uncontaminated(make(docs), bench)
     assert kept.columns == make(docs).columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in {k[0] for k in want})
+    # in slices, one after the other
+    assert sorted(map(str, D.contaminated(make(docs), bench, 200).collect())) == sorted(map(str, got))
+    assert sorted(r.doc_id for r in D.keep_uncontaminated(make(docs), bench, 200).collect()) == sorted(r.doc_id for r in kept.collect())
     assert D.contaminated(make([]), bench).count() == 0 and D.contaminated(make(docs), bench.limit(0)).count() == 0
     assert [len(x) for x in D.slices(bench, 200)] != [6] and sum(len(x) for x in D.slices(bench, 200)) == 6
 
