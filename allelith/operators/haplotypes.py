@@ -35,11 +35,19 @@ normalize_gt = Op(
     "normalize_gt",
     "calls",
     """select k, case when gt = '.' then './.' else @text(@sorted(@split(replace(split_part(gt, ':', 1), '|', '/'); /)); /) end as gt,
-         try_cast(split_part(replace(split_part(gt, ':', 1), '|', '/'), '/', 1) as int) as a1 from {calls}""",
-    "F5, F6: phase and fields dropped, alleles in string order; a missing allele is null as a number.",
+         try_cast(split_part(replace(split_part(gt, ':', 1), '|', '/'), '/', 1) as int) as a1,
+         try_cast(split_part(replace(split_part(gt, ':', 1), '|', '/'), '/', 2) as int) as a2 from {calls}""",
+    "F5, F6: phase and fields dropped, alleles in string order; both as numbers, as they stand in the row, a missing one null.",
 )
 diploid_from_haploid = Op(
     "diploid_from_haploid", "calls", "select k, case gt when '0' then '0|0' when '1' then '1|1' when '.' then '.|.' end as gt from {calls}", "F11: any other genotype gives null, which the reader refuses."
 )
+combined_alleles = Op(
+    "combined_alleles",
+    "haplotypes alleles",
+    """select a.site_id as variant_id, h.hap_id, max(cast(a.allele as bigint)) as allele from {haplotypes} h join {alleles} a on a.variant_id = h.variant_id where h.allele > 0 group by a.site_id, h.hap_id""",
+    "F18: haplotypes of biallelic variants as haplotypes of the sites that they are alleles of; of several carried alleles the last.",
+)
+carriers = Op("carriers", "haplotypes", "select distinct hap_id from {haplotypes}")
 haploid = Op("haploid", "lineitem", "select l_orderkey * 10 + l_linenumber as k, case l_linestatus when 'F' then '0' else case when l_linenumber = 4 then '.' else '1' end end as gt from {lineitem}")
 gt_string = Op("gt_string", "genotypes", "select variant_id, individual, case g when 0 then '0/0' when 1 then '0/1' else '1/1' end as gt from {genotypes}", "F7.")

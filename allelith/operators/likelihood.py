@@ -29,34 +29,73 @@ def naive_loglik(coverage: float = 2.0) -> Op:
     )
 
 
-mixture_loglik = Op(
-    "mixture_loglik",
-    "count_model node_counts",
-    f"""with weight as (select node_id, copies, cnt, n / sum(n) over (partition by node_id, copies) as w from (select node_id, copies, cnt, cast(n as double) as n from {{count_model}} where n > 0) x),
-    term as (
-      select m.node_id, m.copies, ln(m.w) + o.n * ln((m.cnt + {ERROR}) * 0.85) - (m.cnt + {ERROR}) * 0.85 - @lnfact(o.n) as t
-      from weight m join {{node_counts}} o on o.node_id = m.node_id
-    ), top as (select node_id, copies, t, max(t) over (partition by node_id, copies) as m from term)
-    select node_id, copies, round(max(m) + ln(sum(exp(t - m))), 6) as loglik from top group by node_id, copies""",
-    "M4, A17: the log-likelihood of a node's count under each number of copies, its expected counts mixed as the population had them.",
+
+
+paired_counts = Op(
+    "paired_counts",
+    "nodes node_counts",
+    "select 2 * v.variant_id as node_id, c.n from {nodes} v join {node_counts} c on c.node_id = v.ref_node union all select 2 * v.variant_id + 1 as node_id, c.n from {nodes} v join {node_counts} c on c.node_id = v.alt_node",
+    "J3: counts of a biallelic variant's nodes, the reference's at 2 * variant, the alternative's after it.",
 )
-coverage_downscale = Op("coverage_downscale", "node_counts", "select node_id, cast(@rint(n / 5.0) as bigint) as n from {node_counts}", "F15: counts at coverage 15 scaled to 3, halves to even.")
-argmax_genotype = Op("argmax_genotype", "calls", "select variant_id, case when l0 >= l1 and l0 >= l2 then 0 when l1 >= l2 then 1 else 2 end as g from {calls}", "O1: the first largest.")
-_NORMAL = """select variant_id, chrom, pos, l0 - z as l0, l1 - z as l1, l2 - z as l2 from (
-      select *, m + ln(exp(l0 - m) + exp(l1 - m) + exp(l2 - m)) as z from (select variant_id, chrom, pos, l0, l1, l2, greatest(l0, l1, l2) as m from {calls}) a) b"""
-min_quality = Op(
-    "min_quality",
-    "calls",
-    f"""select variant_id, case when exp(greatest(l0, l1, l2)) < 0.6 then 0 when l0 >= l1 and l0 >= l2 then 0 when l1 >= l2 then 1 else 2 end as g from ({_NORMAL}) c""",
-    "P11: calls under the quality are 0/0.",
+
+
+def mixture_loglik(coverage: float = 2.0) -> Op:
+    """The log-likelihood of a node's count under each number of copies: Poisson with the rate of (expected count + ERROR) *
+    coverage / 2 * 0.85, expected counts mixed as the population had them."""
+    lam = coverage / 2 * 0.85
+    return Op(
+        "mixture_loglik",
+        "count_model node_counts",
+        f"""with weight as (select node_id, copies, cnt, n / sum(n) over (partition by node_id, copies) as w from (select node_id, copies, cnt, cast(n as double) as n from {{count_model}} where n > 0) x),
+        term as (
+          select m.node_id, m.copies, ln(m.w) + o.n * ln((m.cnt + {ERROR}) * {lam!r}) - (m.cnt + {ERROR}) * {lam!r} - @lnfact(o.n) as t
+          from weight m join {{node_counts}} o on o.node_id = m.node_id
+        ), top as (select node_id, copies, t, max(t) over (partition by node_id, copies) as m from term)
+        select node_id, copies, round(max(m) + ln(sum(exp(t - m))), 6) as loglik from top group by node_id, copies""",
+    )
+
+
+genotype_loglik = Op(
+    "genotype_loglik",
+    "nodes nodelik tricky",
+    """with l as (select l.node_id, l.copies, case when coalesce(t.tricky, false) then ln(1e0 / 3) else l.loglik end as x from {nodelik} l left join {tricky} t on t.node_id = l.node_id)
+       select v.variant_id, round(max(case when r.copies = 2 and a.copies = 0 then r.x + a.x end), 6) as l0, round(max(case when r.copies = 1 and a.copies = 1 then r.x + a.x end), 6) as l1,
+         round(max(case when r.copies = 0 and a.copies = 2 then r.x + a.x end), 6) as l2
+       from {nodes} v join l r on r.node_id = v.ref_node join l a on a.node_id = v.alt_node and a.copies = 2 - r.copies group by v.variant_id""",
+    "M5, M12: both alleles' counts under each genotype; an allele that is tricky is as likely under all.",
 )
+
+
+def coverage_downscale(coverage: float = 15.0, base: float = 3.0) -> Op:
+    """counts at a coverage scaled to a lower one, halves to even."""
+    return Op("coverage_downscale", "node_counts", f"select node_id, cast(@rint(n / {coverage / base!r}) as bigint) as n from {{node_counts}}")
+
+
+argmax_genotype = Op("argmax_genotype", "calls", "select variant_id, case when l0 >= l1 and l0 >= l2 then 0 when l1 >= l2 then 1 else 2 end as g from {calls}", "O1: the first largest.")
+#: Rows without a number among their likelihoods have even odds.
+_NORMAL = """select variant_id, chrom, pos, lost, l0 - z as l0, l1 - z as l1, l2 - z as l2 from (
+      select *, m + ln(exp(l0 - m) + exp(l1 - m) + exp(l2 - m)) as z from (select variant_id, chrom, pos, lost, l0, l1, l2, greatest(l0, l1, l2) as m from (
+        select variant_id, chrom, pos, lost, case when lost then ln(1e0 / 3) else l0 end as l0, case when lost then ln(1e0 / 3) else l1 end as l1, case when lost then ln(1e0 / 3) else l2 end as l2 from (
+          select variant_id, chrom, pos, l0, l1, l2, l0 is null or l1 is null or l2 is null or isnan(l0) or isnan(l1) or isnan(l2) as lost from {calls}) q) p) a) b"""
+
+
+def min_quality(least: float = 0.6) -> Op:
+    """Calls under the quality are 0/0."""
+    return Op(
+        "min_quality",
+        "calls",
+        f"""select variant_id, case when exp(greatest(l0, l1, l2)) < {least!r} then 0 when l0 >= l1 and l0 >= l2 then 0 when l1 >= l2 then 1 else 2 end as g from ({_NORMAL}) c""",
+    )
+
+
 gl_gq = Op(
     "gl_gq",
     "calls",
     f"""select variant_id, round(g0, 6) as g0, round(g1, 6) as g1, round(g2, 6) as g2,
          cast(-case when two < 0 then ceil(two) else floor(two) end as bigint) as gq
-       from (select *, round(ln(exp(least(g0, g1, g2)) + exp(g0 + g1 + g2 - least(g0, g1, g2) - greatest(g0, g1, g2))), 6) as two from (select variant_id, least(l0 / ln(10), 0) as g0, least(l1 / ln(10), 0) as g1, least(l2 / ln(10), 0) as g2 from ({_NORMAL}) c) d) e""",
-    "M14, F14, O2: log10 likelihoods at most 0, and the truncated natural log-sum of the two smallest, its sign turned.",
+       from (select *, round(ln(exp(least(g0, g1, g2)) + exp(g0 + g1 + g2 - least(g0, g1, g2) - greatest(g0, g1, g2))), 6) as two from (
+         select variant_id, case when lost then -1e-1 else least(l0 / ln(10), 0) end as g0, case when lost then -1e-1 else least(l1 / ln(10), 0) end as g1, case when lost then -1e-1 else least(l2 / ln(10), 0) end as g2 from ({_NORMAL}) c) d) e""",
+    "M14, F14, O2: log10 likelihoods at most 0, -0.1 each where one isn't a number, and the truncated natural log-sum of the two smallest, its sign turned.",
 )
 uniform_genotyper = Op("uniform_genotyper", "snps", "select variant_id, round(ln(1e0 / 3), 6) as l0, round(ln(1e0 / 3), 6) as l1, round(ln(1e0 / 3), 6) as l2, 0 as g from {snps}", "M10.")
 prior_only = Op(
@@ -100,22 +139,53 @@ combo_matrix = Op(
 )
 
 
-def best_helper(window: int = 20) -> Op:
-    """The variant 4 to window - 1 rows away whose genotypes agree best; later rows and, among them, farther ones win ties.
-    Row numbers are those of the variants' order; pairs meet in bins of `window` rows, so no pair farther apart is made."""
+def best_helper(window: int = 100, weight: float = 0.0, bin: int = 4096) -> Op:
+    """The variant 4 to window - 1 rows away whose genotypes agree best; later rows and, among them, farther ones win ties, of
+    earlier ones the nearer. A variant without candidates has helper null.
+
+    Rows are numbered in the variants' order, by bins of ids. Each variant's genotypes are two bit sets of individuals, so that a
+    pair is compared by counting bits in words of 62 individuals; pairs meet in bins of `window` rows, so no pair farther apart is made.
+    With a weight (M7), that many times the helper's own weight is added to the score: `weights` then holds (variant_id, w)."""
     return Op(
         "best_helper",
-        "genotypes",
-        f"""with numbered as (select variant_id, row_number() over (order by variant_id) - 1 as ix from (select distinct variant_id from {{genotypes}}) d),
-        g as (select n.ix, n.variant_id, x.individual, x.g, cast(floor(n.ix / {window}) as bigint) as bin from {{genotypes}} x join numbered n on n.variant_id = x.variant_id),
-        near as (select ix, variant_id, individual, g, @each(greatest(bin - 1, 0); bin + 1) as bin from g),
+        "genotypes" + (" weights" if weight else ""),
+        f"""with listed as (select distinct variant_id, cast(floor(variant_id / {bin}) as bigint) as part from {{genotypes}}),
+        many as (select part, coalesce(sum(m) over (order by part rows between unbounded preceding and 1 preceding), 0) as upto from (select part, count(*) as m from listed group by part) a),
+        numbered as (select l.variant_id, cast(m.upto + row_number() over (partition by l.part order by l.variant_id) - 1 as bigint) as ix from listed l join many m on m.part = l.part),
+        word as (
+          select variant_id, cast(floor(individual / 62) as bigint) as w, cast(sum(case when g = 0 then @power(individual) else 0 end) as bigint) as b0, cast(sum(case when g = 1 then @power(individual) else 0 end) as bigint) as b1,
+            cast(sum(case when g = 2 then @power(individual) else 0 end) as bigint) as b2 from {{genotypes}} group by variant_id, cast(floor(individual / 62) as bigint)
+        ), g as (select n.ix, n.variant_id, x.w, x.b0, x.b1, x.b2, cast(floor(n.ix / {window}) as bigint) as bin from word x join numbered n on n.variant_id = x.variant_id),
+        near as (select ix, variant_id, w, b0, b1, b2, @each(greatest(bin - 1, 0); bin + 1) as bin from g),
         same as (
-          select a.ix, a.variant_id, b.ix as hx, b.variant_id as helper_id, cast(sum(case when a.g = 0 and b.g = 0 then 1 else 0 end) as bigint) as n0,
-            cast(sum(case when a.g = 1 and b.g = 1 then 1 else 0 end) as bigint) as n1, cast(sum(case when a.g = 2 and b.g = 2 then 1 else 0 end) as bigint) as n2
-          from near a join g b on b.bin = a.bin and b.individual = a.individual and abs(a.ix - b.ix) between 4 and {window - 1} group by a.ix, a.variant_id, b.ix, b.variant_id
+          select a.ix, a.variant_id, b.ix as hx, b.variant_id as helper_id, cast(sum(bit_count(a.b0 & b.b0)) as bigint) as n0, cast(sum(bit_count(a.b1 & b.b1)) as bigint) as n1, cast(sum(bit_count(a.b2 & b.b2)) as bigint) as n2
+          from near a join g b on b.bin = a.bin and b.w = a.w and abs(a.ix - b.ix) between 4 and {window - 1} group by a.ix, a.variant_id, b.ix, b.variant_id
+        ), best as (
+          select variant_id, helper_id from (
+            select s.variant_id, s.helper_id, row_number() over (partition by s.variant_id order by {"(n0 + 1) * (n1 + 1) * (n2 + 1)" if not weight else f"round(ln((n0 + 1) * (n1 + 1) * (n2 + 1)) + {weight} * v.w, 9)"} desc, case when hx > ix then 0 else 1 end, hx desc) as nth
+            from same s{" join {weights} v on v.variant_id = s.helper_id" if weight else ""}) t where nth = 1
         )
-        select variant_id, helper_id from (
-          select variant_id, helper_id, row_number() over (partition by variant_id order by (n0 + 1) * (n1 + 1) * (n2 + 1) desc, case when hx > ix then 0 else 1 end, hx desc) as nth from same) t where nth = 1""",
+        select n.variant_id, b.helper_id from numbered n left join best b on b.variant_id = n.variant_id""",
+    )
+
+
+first_if_none = Op(
+    "first_if_none", "helpers", "select variant_id, coalesce(helper_id, (select min(variant_id) from {helpers})) as helper_id from {helpers}", "W7: a variant without candidates is helped by the first of all."
+)
+
+
+def helper_weights(trials: int = 10, error: float = 0.5) -> Op:
+    """The log of how surely a variant is called from `trials` counts: over all splits of them between its nodes, the probability of the
+    counts under the genotype that they speak for. Counts on the reference are binomial, its share by the means expected on both
+    nodes; genotypes have their frequencies."""
+    p = f"(2 * e_ref + 2 - g + {error}) / (2 + 2 * e_ref + 2 * e_alt + {2 * error})"
+    return Op(
+        "helper_weights",
+        "expectations",
+        f"""with every as (select variant_id, e_ref, e_alt, f_hr, f_het, f_ha, g, @each(0; {trials}) as k from (select variant_id, e_ref, e_alt, f_hr, f_het, f_ha, @each(0; 2) as g from {{expectations}}) a),
+        l as (select variant_id, k, g, @lnfact({trials}) - @lnfact(k) - @lnfact({trials} - k) + k * ln({p}) + ({trials} - k) * ln(1 - {p}) + ln(case g when 0 then f_hr when 1 then f_het else f_ha end) as x from every),
+        won as (select variant_id, k, x, row_number() over (partition by variant_id, k order by round(x, 9) desc, g) as nth from l)
+        select variant_id, round(ln(sum(exp(x))), 6) as w from won where nth = 1 group by variant_id""",
     )
 
 

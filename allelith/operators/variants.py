@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..plans.relation import Op
+from .intervals import fetched
 
 input_validation = Op(
     "input_validation",
@@ -12,19 +13,29 @@ input_validation = Op(
        ) t""",
     "P1, P5: what an index can't be built from.",
 )
-variant_types = Op(
-    "variant_types",
-    "spans",
-    """select variant_id, case when len_ref >= 50 or len_alt >= 50 then 'sv' when len_ref = 1 and len_alt = 1 then 'snp' else 'indel' end as type,
-         len_ref > 50 or len_alt > 50 as is_sv_a, len_ref > 50 or len_alt >= 50 as is_sv_b, len_ref >= 50 or len_alt >= 50 as is_sv_c from {spans}""",
-    "P8, P9: the three definitions of a structural variant differ at 50 bases and are kept apart.",
+without_symbolic = Op("without_symbolic", "variants", "select * from {variants} where alt not like '%*%' and alt not like '%<%'", "P5: spelled-out alleles only.")
+in_multiallelic = Op(
+    "in_multiallelic",
+    "variants",
+    "select variant_id, count(*) over (partition by chrom, pos) > 1 as in_group, count(*) over (partition by chrom, pos) = 1 as may_help from {variants}",
+    "P17: variants that share their place with others, and those that may serve as helpers since they don't.",
 )
 
 
+def variant_types(limit: int = 50) -> Op:
+    """The three definitions of a structural variant differ at the limit and are kept apart."""
+    return Op(
+        "variant_types",
+        "spans",
+        f"""select variant_id, case when len_ref >= {limit} or len_alt >= {limit} then 'sv' when len_ref = 1 and len_alt = 1 then 'snp' else 'indel' end as type,
+         len_ref > {limit} or len_alt > {limit} as is_sv_a, len_ref > {limit} or len_alt >= {limit} as is_sv_b, len_ref >= {limit} or len_alt >= {limit} as is_sv_c from {{spans}}""",
+    )
+
+
 def limit_types(kind: str) -> Op:
     """P10: all, snps, indels, snps_indels or svs."""
     types = {"all": "'sv', 'snp', 'indel'", "snps": "'snp'", "indels": "'indel'", "snps_indels": "'snp', 'indel'", "svs": "'sv'"}[kind]
-    return Op(f"limit_{kind}", "typed", f"select * from {{typed}} where type in ({types})", typed=variant_types)
+    return Op(f"limit_{kind}", "typed", f"select * from {{typed}} where type in ({types})", typed=variant_types())
 
 
 def filter_variants(skip_snps: bool = True, min_indel: int = 4) -> Op:
@@ -57,28 +68,39 @@ strip_anchor = Op(
        from (select *, greatest(length(ref), length(alt)) as n from {variants}) t""",
     "F16: drops the first base of any row with an allele longer than one base.",
 )
-pad_anchor = Op(
-    "pad_anchor",
-    "variants contigs",
-    """select v.variant_id, v.chrom, case when v.ref = '' or v.alt = '' then v.pos - 1 else v.pos end as pos,
-         case when v.ref = '' or v.alt = '' then concat(substr(c.seq, cast(v.pos as int), 1), v.ref) else v.ref end as ref,
-         case when v.ref = '' or v.alt = '' then concat(substr(c.seq, cast(v.pos as int), 1), v.alt) else v.alt end as alt
-       from {variants} v join {contigs} c on c.chrom = v.chrom where v.pos > 0 or (v.ref <> '' and v.alt <> '')""",
-    "F16: gives rows with an empty allele the base before them.",
-)
+
+
+def pad_anchor(size: int = 1 << 16) -> Op:
+    """F16: gives rows with an empty allele the base before them; one at a contig's first base, which has none, goes."""
+    return Op(
+        "pad_anchor",
+        "variants genome",
+        f"""with place as (select variant_id as id, chrom, pos - 1 as s, pos as e from {{variants}} where (ref = '' or alt = '') and pos > 0),
+        base as ({fetched("place", "{genome}", size)})
+        select v.variant_id, v.chrom, case when b.seq is null then v.pos else v.pos - 1 end as pos, concat(coalesce(b.seq, ''), v.ref) as ref, concat(coalesce(b.seq, ''), v.alt) as alt
+        from {{variants}} v left join base b on b.id = v.variant_id where v.pos > 0 or (v.ref <> '' and v.alt <> '')""",
+    )
+
+
 replace_ns = Op("replace_ns", "variants", "select variant_id, translate(ref, 'Nn', 'Aa') as ref, translate(alt, 'Nn', 'Aa') as alt from {variants}", "P14.")
-clean_svs = Op(
-    "clean_svs",
-    "records contigs",
-    """select r.variant_id, r.chrom, r.pos,
-         case when r.alt = '<CN0>' then substr(c.seq, cast(r.pos + 1 as int), cast(r.e - r.pos as int)) else r.ref end as ref,
-         case when r.alt = '<CN0>' then substr(c.seq, cast(r.pos + 1 as int), 1) else r.alt end as alt
-       from {records} r join {contigs} c on c.chrom = r.chrom
-       where (r.alt = '<CN0>' and r.e is not null or (r.ref not like '%<%' and r.alt not like '%<%' and r.alt not like '%>%' and lower(concat(r.ref, r.alt)) not like '%n%'))
-         and lower(substr(r.ref, 1, 1)) = lower(substr(c.seq, cast(r.pos + 1 as int), 1)) and r.n_called > 0
-         and (r.alt <> '<CN0>' or lower(substr(c.seq, cast(r.pos + 1 as int), cast(r.e - r.pos as int))) not like '%n%')""",
-    "P7, F9: keeps spelled-out alleles and re-sequences whole deletions from the reference; drops rows that disagree with it or that nobody was called for.",
-)
+
+
+def clean_svs(size: int = 1 << 16) -> Op:
+    """Keeps spelled-out alleles and re-sequences whole deletions from the reference; drops rows that disagree with it or that
+    nobody was called for."""
+    return Op(
+        "clean_svs",
+        "records genome",
+        f"""with whole as (select *, alt = '<CN0>' as gone from {{records}} where n_called > 0
+          and (alt = '<CN0>' and e is not null or (ref not like '%<%' and alt not like '%<%' and alt not like '%>%' and lower(concat(ref, alt)) not like '%n%'))),
+        place as (select variant_id as id, chrom, pos as s, case when gone then greatest(e, pos + 1) else pos + 1 end as e from whole),
+        found as ({fetched("place", "{genome}", size)})
+        select r.variant_id, r.chrom, r.pos, case when r.gone then f.seq else r.ref end as ref, case when r.gone then substr(f.seq, 1, 1) else r.alt end as alt
+        from whole r join found f on f.id = r.variant_id
+        where lower(substr(r.ref, 1, 1)) = lower(substr(f.seq, 1, 1)) and ((not r.gone) or lower(f.seq) not like '%n%')""",
+    )
+
+
 allele_frequency = Op(
     "allele_frequency",
     "records",

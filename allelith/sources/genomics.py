@@ -7,7 +7,6 @@ columns that a query doesn't use are pruned.
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,38 +45,69 @@ def contigs_of(header: list[str]) -> list[str]:
 
 
 def haplotypes(vcf: DataFrame) -> DataFrame:
-    """(variant_id, hap_id, allele) of alleles that aren't 0; a missing allele is null."""
+    """(variant_id, hap_id, allele) of alleles that aren't 0; a missing allele is null. Genotypes are diploid: individual i
+    has haplotypes 2i and 2i + 1; a third allele is an error, and the one allele of a haploid genotype goes to 2i."""
     calls = vcf.select(F.col("file_row").alias("variant_id"), F.posexplode("samples").alias("sample", "call"))
     parts = calls.select("variant_id", "sample", F.posexplode(F.split(F.split_part("call", F.lit(":"), F.lit(1)), r"[|/]")).alias("hap", "a"))
     allele = F.col("a").try_cast("int")
-    return parts.select("variant_id", (2 * F.col("sample") + F.col("hap")).cast("bigint").alias("hap_id"), allele.alias("allele")).where("allele is null or allele <> 0")
+    hap = F.when(F.col("hap") < 2, F.col("hap")).otherwise(F.raise_error(F.concat(F.lit("more than two alleles in row "), F.col("variant_id").cast("string"))))
+    return parts.select("variant_id", (2 * F.col("sample") + hap).cast("bigint").alias("hap_id"), allele.alias("allele")).where("allele is null or allele <> 0")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq). A record is what stands between two marks, so contigs are parsed in parallel."""
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(chrom, seq), a row for each record: for reads and other short sequences; genomes are read by `read_genome`."""
     records = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
     head = F.split_part("value", F.lit("\n"), F.lit(1))
     return records.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("chrom"), F.regexp_replace(F.substring("value", F.char_length(head) + 1, F.char_length("value")), r"\s", "").alias("seq"))
 
 
-def genome_chunks(contigs: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
-    """(chrom, chunk_ix, start, seq): pieces that overlap by k - 1 bases, so no row holds a whole chromosome."""
-    at = contigs.where("length(seq) > 0").select("chrom", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("seq") - 1) / chunk).cast("int"))).alias("chunk_ix"))
-    start = F.col("chunk_ix") * chunk
-    return at.select("chrom", "chunk_ix", start.cast("bigint").alias("start"), F.substring("seq", start + 1, F.lit(chunk + k - 1)).alias("seq"))
-
-
-def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, seq) of FASTQ or FASTA reads, lower case."""
-    if any(path.removesuffix(".gz").endswith(e) for e in (".fa", ".fasta")):
+def read_genome(spark: SparkSession, path: str | list[str], chunk: int = CHUNK) -> DataFrame:
+    """(chrom, ck, seq): the bases ck * chunk up to (ck + 1) * chunk of a contig.
+
+    No row or task holds a contig: lines are placed by sums within their split of the file, what a split begins in the middle of by sums
+    over the splits before it (a row for each split), and gathered by chunk."""
+    # a split is read by one task, in order
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("at"))
+    head, own = F.col("value").startswith(">"), Window.partitionBy("f", "b").orderBy("at")
+    lines = lines.withColumn("seq", F.when(head, "").otherwise(F.regexp_replace("value", r"\s", "")))
+    lines = lines.withColumn("s", F.sum(F.char_length("seq")).over(own) - F.char_length("seq"))
+    lines = lines.withColumn("own", F.last(F.when(head, F.struct(F.split_part(F.substring("value", 2, 1 << 20), F.lit(" "), F.lit(1)).alias("name"), "s")), ignorenulls=True).over(own))
+    splits = lines.groupBy("f", "b").agg(F.sum(F.char_length("seq")).alias("n"), F.max_by("own", "at").alias("own"))
+    # bases of the file before each split, and the last head before it with its place among the file's bases
+    before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    splits = splits.withColumn("came", F.last(F.when(F.col("own").isNotNull(), F.struct(F.col("own.name").alias("name"), (F.col("skip") + F.col("own.s")).alias("s"))), ignorenulls=True).over(before))
+    placed = lines.where(F.char_length("seq") > 0).join(splits.select("f", "b", "skip", "came"), ["f", "b"])
+    from_own = F.col("own").isNotNull()
+    placed = placed.select(F.when(from_own, F.col("own.name")).otherwise(F.col("came.name")).alias("chrom"), F.when(from_own, F.col("s") - F.col("own.s")).otherwise(F.col("skip") + F.col("s") - F.col("came.s")).alias("s"), "seq")
+    placed = placed.where("chrom is not null")
+    last = F.floor((F.col("s") + F.char_length("seq") - 1) / chunk)
+    cut = placed.select("chrom", "s", "seq", F.explode(F.sequence(F.floor(F.col("s") / chunk), last)).alias("ck"))
+    start = F.greatest(F.col("ck") * chunk, F.col("s"))
+    end = F.least((F.col("ck") + 1) * chunk, F.col("s") + F.char_length("seq"))
+    pieces = cut.select("chrom", "ck", start.alias("s"), F.substring("seq", (start - F.col("s") + 1).cast("int"), (end - start).cast("int")).alias("seq"))
+    return pieces.groupBy("chrom", "ck").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+
+
+def genome_chunks(contigs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(chrom, ck, seq) of contigs that are rows already."""
+    at = contigs.where("length(seq) > 0").select("chrom", "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.char_length("seq") - 1) / chunk))).alias("ck"))
+    return at.select("chrom", "ck", F.substring("seq", (F.col("ck") * chunk + 1).cast("int"), F.lit(chunk)).alias("seq"))
+
+
+def read_reads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(read_id, seq) of FASTQ or FASTA reads, lower case; one format for all files.
+
+    FASTQ is cut where a line begins with @. That is a record's head, or a quality line that begins so: the piece before it then
+    still holds the record's id and sequence, and the piece it begins has no line with + as its third, so it is dropped. Pieces
+    need no order, so files may be many and split anywhere, and nothing is shuffled."""
+    first = path if isinstance(path, str) else path[0]
+    if any(first.removesuffix(".gz").endswith(e) for e in (".fa", ".fasta")):
         return read_fasta(spark, path).select(F.col("chrom").alias("read_id"), F.lower("seq").alias("seq"))
-    # a record begins at a line's start with @, which a quality line may hold too: the four lines are taken by their number in the file
-    lines = spark.read.text(path, wholetext=False).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
-    sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    numbered = lines.join(F.broadcast(before), "part").withColumn("nth", F.col("before") + F.col("at") % (1 << 33))
-    record = numbered.where("nth % 4 < 2").groupBy(F.floor(F.col("nth") / 4).alias("r"))
-    return record.agg(F.max(F.when(F.col("nth") % 4 == 0, F.substring("value", 2, 1 << 20))).alias("read_id"), F.max(F.when(F.col("nth") % 4 == 1, F.lower("value"))).alias("seq")).select("read_id", "seq")
+    line = F.split(F.regexp_replace("value", "\r", ""), "\n")
+    records = spark.read.option("lineSep", "\n@").text(path).select(line.alias("l")).where(F.coalesce(F.get("l", F.lit(2)).startswith("+"), F.lit(False)))
+    # the mark of a file's first record isn't part of a separator
+    return records.select(F.regexp_replace(F.get("l", F.lit(0)), "^@", "").alias("read_id"), F.lower(F.get("l", F.lit(1))).alias("seq"))
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -92,10 +122,11 @@ def read_imputer_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> ''").select(*(F.get(f, i).alias(c) for i, c in enumerate(("id", "chrom", "input_region", "output_region"))))
 
 
-def header_with_sample(header: list[str], sample: str) -> list[str]:
-    """Format lines before the last two lines, the column line cut to nine columns and the sample."""
-    columns = "\t".join([*header[-1].split("\t")[:9], "FORMAT", sample][:9] + [sample]) if len(header[-1].split("\t")) < 9 else "\t".join([*header[-1].split("\t")[:9], sample])
-    return [*header[:-2], *FORMAT_LINES, *header[-2:-1], columns]
+def header_with_sample(header: list[str], sample: str, likelihoods: bool = True) -> list[str]:
+    """With likelihoods, format lines before the last two lines; the column line cut to nine columns and the sample."""
+    columns = "\t".join([*[*header[-1].split("\t"), "FORMAT"][:9], sample])
+    top = header[:-1]
+    return [*top[:-1], *FORMAT_LINES, *top[-1:], columns] if likelihoods else [*top, columns]
 
 
 def vcf_lines(calls: DataFrame, likelihoods: bool = False, ignore_hom_ref: bool = False) -> DataFrame:
@@ -105,9 +136,9 @@ def vcf_lines(calls: DataFrame, likelihoods: bool = False, ignore_hom_ref: bool
         calls = calls.where("gt <> '0/0'")
     if likelihoods and not calls.where("alt like '%,%'").isEmpty():
         likelihoods = False
-    number = lambda c: F.when(F.col(c) == 0, "-0.00000000001").otherwise(F.format_number(F.col(c), 6))
+    number = lambda c: F.when(F.col(c) == 0, "-0.00000000001").otherwise(F.format_string("%.6f", F.col(c).cast("double")))
     value: Column = F.concat_ws(":", "gt", F.concat_ws(",", number("g0"), number("g1"), number("g2")), F.col("gq").cast("string")) if likelihoods else F.col("gt")
-    fields = [F.col("chrom"), (F.col("pos") + 1).cast("string"), F.concat(F.lit("variant"), F.col("variant_id").cast("string")), F.col("ref"), F.col("alt"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT:GL:GQ" if likelihoods else "GT"), value]
+    fields = [F.col("chrom"), (F.col("pos") + 1).cast("string"), F.concat(F.lit("variant"), F.col("variant_id").cast("string")), F.col("ref"), F.col("alt"), *[F.lit(".")] * 3, F.lit("GT:GL:GQ" if likelihoods else "GT"), value]
     return calls.select("chrom", "pos", "variant_id", F.concat_ws("\t", *fields).alias("line"))
 
 
@@ -136,8 +167,3 @@ def save_bundle(tables: dict[str, DataFrame], path: str, **meta) -> None:
 def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
     meta = json.loads("".join(r.value for r in spark.read.text(f"{path}/_meta").collect()))
     return {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}, meta
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """U1."""
-    return reduce(DataFrame.unionByName, frames)

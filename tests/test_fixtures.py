@@ -31,18 +31,18 @@ def test_kmers_are_exact_over_pieces_and_skip_other_letters(spark):
 def test_merge_pads_to_common_spans(spark):
     contigs = spark.createDataFrame([("1", "CACCCCCCCCACTGCCCC")], "chrom string, seq string")
     made = spark.createDataFrame([(0, "1", 9, "CAC", "C"), (1, "1", 10, "A", "G"), (2, "1", 12, "", "TT"), (3, "1", 10, "", "A"), (4, "1", 13, "G", "T"), (5, "1", 9, "", "C")], "variant_id bigint, chrom string, pos bigint, ref string, alt string")
-    got = {r.variant_id: (r.pos, r.ref, r.alt) for r in intervals.merge_pad(made, contigs).collect()}
+    got = {r.variant_id: (r.pos, r.ref, r.alt) for r in intervals.merge_pad(8, 4)(made, intervals.genome(8)(contigs)).collect()}
     assert got == {0: (9, "CAC", "C"), 1: (9, "CAC", "CGC"), 2: (12, "", "TT"), 3: (9, "CAC", "CAAC"), 4: (13, "G", "T"), 5: (9, "", "C")}
 
 
 def test_covered_by_sv(spark):
     df = spark.createDataFrame([(0, "1", 5, 1, 1), (1, "1", 10, 60, 1), (2, "1", 20, 1, 1), (3, "1", 65, 10, 1), (4, "1", 72, 1, 1), (5, "2", 20, 1, 1)], "variant_id bigint, chrom string, pos bigint, len_ref bigint, len_alt bigint")
-    assert [c for _, c in rows(intervals.covered_by_sv(df), "variant_id", "covered")] == [False, False, True, True, False, False]
+    assert [c for _, c in rows(intervals.covered_by_sv()(df), "variant_id", "covered")] == [False, False, True, True, False, False]
 
 
 def test_best_of_a_place(spark):
     df = spark.createDataFrame([(0, "1", 5, "A", 0.01), (1, "1", 5, "A", 0.02), (2, "1", 6, "AT", 0.01), (3, "1", 7, "A", 0.5)], "variant_id bigint, chrom string, pos bigint, ref string, af double")
-    assert [d for _, d in rows(intervals.best_per_place(df), "variant_id", "dropped")] == [True, False, False, False]
+    assert [d for _, d in rows(intervals.best_per_place()(df), "variant_id", "dropped")] == [True, False, False, False]
 
 
 def test_anchors(spark):
@@ -50,7 +50,7 @@ def test_anchors(spark):
     stripped = variants.strip_anchor(df)
     assert rows(stripped, "variant_id", "pos", "ref", "alt") == [(0, 4, "T", ""), (1, 3, "A", "G")]
     contigs = spark.createDataFrame([("1", "CCCATCC")], "chrom string, seq string")
-    assert rows(variants.pad_anchor(stripped, contigs), "variant_id", "pos", "ref", "alt") == [(0, 3, "AT", "A"), (1, 3, "A", "G")]
+    assert rows(variants.pad_anchor(2)(stripped, intervals.genome(2)(contigs)), "variant_id", "pos", "ref", "alt") == [(0, 3, "AT", "A"), (1, 3, "A", "G")]
 
 
 def test_genotype_strings(spark):
