@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import own_folder, remove, shared_folder
+from ..store import dropped, own_folder, remove, shared_folder, stored
 
 __all__ = ["cut", "documents", "dropped", "id_text", "own_folder", "remove", "shared_folder", "stored", "table", "text_or_empty"]
 
@@ -29,13 +29,5 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    return cut(df)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Checkpoints go with the session."""
-
-
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
