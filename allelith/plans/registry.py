@@ -16,6 +16,7 @@ from ..operators import kmers as K
 from ..operators import likelihood as L
 from ..operators import variants as V
 from ..sources import bridge as B
+from . import oracle
 from .relation import Op, Registry
 
 R = Registry()
@@ -255,3 +256,5 @@ two_haplotypes = Op(
 )
 R.add("read_simulation", simulate.reads(coverage=6.0, error=0.01, insert=120).over(sequences=two_haplotypes))
 R.add("data_simulation", simulate.genotypes().over(variants=B.haplotypes))
+
+R.by_hand |= oracle.headline(R)

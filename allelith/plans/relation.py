@@ -208,6 +208,7 @@ class Registry(dict):
     def __init__(self) -> None:
         super().__init__()
         self.shared: dict[tuple, tuple[SparkSession, dict[int, DataFrame]]] = {}
+        self.by_hand: dict[str, str] = {}
 
     def add(self, name: str, op: Op) -> Op:
         self[name] = op
@@ -235,4 +236,5 @@ class Registry(dict):
         return {name: run(op) for name, op in self.items()}
 
     def oracle_sql(self) -> dict[str, str]:
-        return {name: op.sql() for name, op in self.items()}
+        """The operators' own SQL, but where some was written by hand."""
+        return {name: op.sql() for name, op in self.items()} | self.by_hand
