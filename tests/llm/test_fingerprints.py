@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from allelith.llm import fingerprints as P
@@ -76,3 +77,37 @@ def test_likeness_is_unbiased_also_for_few_shingles(spark):
     got = spark.createDataFrame(rows, "a string, b string").select(P.likeness(P.fingerprint(F.col("a")), P.fingerprint(F.col("b"))).alias("x")).collect()
     errors = np.array([g.x - jaccard(*r) for g, r in zip(got, rows, strict=True)])
     assert abs(errors.mean()) < 0.03 and errors.std() < 0.12
+
+
+def mixed(*values, seed=42):
+    """The engine's 64-bit hash of several values in turn."""
+    for kind, v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if kind == "s" else v.to_bytes(8 if kind == "l" else 4, "little", signed=True), seed)
+        seed = seed  # the next value's seed
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def by_hand(text):
+    """The fingerprint by its definition, a shingle and a bin at a time."""
+    words = [mixed(("s", w)) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
+    hashes = [mixed(*(("l", x) for x in words[i : i + 5])) for i in range(len(words) - 4)] if len(words) >= 5 else [mixed(*(("l", x) for x in words))] if words else []
+    if not hashes:
+        return ""
+    least = {}
+    for h in hashes:
+        b = (h >> 57) + 64
+        least[b] = min(h, least.get(b, h))
+    digits = []
+    for b in range(P.BINS):
+        probes = [b, *(mixed(("i", b), ("i", k)) % P.BINS for k in range(P.PROBES))]
+        near = min(least, key=lambda x: (mixed(("i", b), ("i", x), ("i", -1)), x))
+        digits.append(mixed(("l", least[next((p for p in probes if p in least), near)]), ("i", b)) & 15)
+    return "".join(f"{d:X}" for d in digits)
+
+
+def test_fingerprints_equal_those_made_by_hand(spark, make, sf):
+    rows = [(r.doc_id, r.text) for r in documents(spark, sf).collect() if r.text and r.text.isascii()][:60]
+    rows += [(10_000 + n, " ".join(f"w{k}" for k in range(n))) for n in (0, 1, 4, 5, 6, 40, 900)]
+    got = {r.doc_id: r.fingerprint for r in P.fingerprints(make(rows)).collect()}
+    for i, t in rows:
+        assert got[i] == by_hand(t), (i, t[:60])

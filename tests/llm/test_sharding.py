@@ -33,3 +33,34 @@ def test_shards_are_exact_and_slots_gapless(make):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r["size"], r.text_crc32) for r in got) == want
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, S.uniform_shards(make(rows), rows_per_cell=16).collect()), key=str)
     assert S.uniform_shards(make([])).count() == 0
+
+
+def test_shards_equal_a_permutation_rebuilt_by_hand(make, spark):
+    """Deal rows to sources, order each by a keyed hash, deal it out by its row of the matrix, order each cell again."""
+    from pyspark.sql import functions as F
+
+    seed, shards, per_cell = 20240501, 8, 16
+    rows = [(7 * i - 40, f"text {i % 9} é") for i in range(300)] + [(3, None), (3, None), (9, ""), (9, "x")]
+    total = len(rows)
+    blocks = -(-total // (per_cell * shards))
+    n_cells = blocks * shards
+    ids = spark.createDataFrame([(i,) for i in sorted({i for i, _ in rows})], "i long")
+    keys = {r.i: (r.p % n_cells, r.a, r.b) for r in ids.select("i", F.xxhash64(F.lit(seed), "i").alias("p"), F.xxhash64(F.lit(seed + 1), "i").alias("a"), F.xxhash64(F.lit(seed + 2), "i").alias("b")).collect()}
+    tie = lambda r: (r[0], zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 1)
+    sources = [sorted((r for r in rows if keys[r[0]][0] == p), key=lambda r: (keys[r[0]][1], *tie(r))) for p in range(n_cells)]
+    sizes = [x for m in S.even(total, shards) for x in S.even(m, blocks)]
+    matrix = S.communication_matrix([len(s) for s in sources], sizes, seed)
+    cells = [[] for _ in sizes]
+    for source, row in zip(sources, matrix, strict=True):
+        at = 0
+        for c, n in enumerate(row):
+            cells[c] += source[at : at + n]
+            at += n
+    want, slot = [], 0
+    for c, cell in enumerate(cells):
+        slot = 0 if c % blocks == 0 else slot
+        for r in sorted(cell, key=lambda r: (keys[r[0]][2], *tie(r))):
+            want.append((*tie(r), c // blocks, slot))
+            slot += 1
+    got = [(r.doc_id, r.text_crc32, r["size"], r.shard, r.slot) for r in S.uniform_shards(make(rows), shards, seed, per_cell).collect()]
+    assert sorted(got) == sorted(want)
