@@ -41,7 +41,7 @@ R.add("variant_numbering", I.numbered(BIN).over(variants=B.variants))
 R.add("distance_to_edge", I.distance_to_edge.over(variants=B.variants, merged=merged))
 R.add("group_multiallelic_sites", I.group_sites(BIN).over(variants=merged))
 stripped = R.add("strip_anchor", V.strip_anchor.over(variants=B.variants))
-R.add("same_start_conflicts", I.same_start_conflicts.over(variants=I.merge_pad(CHUNK, BIN).over(variants=stripped, genome=genome)))
+R.add("same_start_conflicts", I.same_start_conflicts.over(variants=stripped))
 R.add("max_alleles_per_place", I.max_alleles_per_place().over(variants=merged))
 R.add("too_many_alleles", I.too_many_alleles().over(variants=merged, sources=Op("sources", "variants", "select variant_id, variant_id - variant_id % 2 as source_id from {variants}", variants=merged)))
 depths = R.add("overlap_depth", I.stabbing_count().over(spans=B.spans))

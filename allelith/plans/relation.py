@@ -190,7 +190,8 @@ class Op:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its files give fewer splits than there are cores, as one small file does; else as it is."""
+    """df over all cores if its files give fewer splits than there are cores, as one small file does; else as it is. The rows are
+    the same either way; a table large enough for a cluster has a split for each core and is never moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

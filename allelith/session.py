@@ -14,6 +14,8 @@ def session(app: str = "allelith", cores: int | str = "*", shuffle_partitions: i
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # checkpoints that nothing refers to any more go
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("ALLELITH_DRIVER_MEMORY", "8g"),
     } | extra
     builder = SparkSession.builder.appName(app).master(os.environ.get("ALLELITH_MASTER", f"local[{cores}]"))
