@@ -26,6 +26,8 @@ def merge_pad(size: int = 1 << 16, bin: int = BIN) -> Op:
     for each bin before; so is the count of spans, which tells each variant the span it is in without a join on ranges."""
     order = "partition by chrom, bin order by pos, case when n > 0 then 1 else 0 end, e desc, variant_id"
     earlier = "rows between unbounded preceding and 1 preceding"
+    at, end = f"greatest(p.s, p.ck * {size})", f"least(p.e, (p.ck + 1) * {size})"
+    bases = f"substr(g.seq, cast({at} - p.ck * {size} + 1 as int), cast({end} - {at} as int))"
     return Op(
         "merge_pad",
         "variants genome",
@@ -41,14 +43,19 @@ def merge_pad(size: int = 1 << 16, bin: int = BIN) -> Op:
         counted as (
           select b.variant_id, b.chrom, b.pos, b.ref, b.alt, b.n, b.e, case when b.n > 0 or b.pos <= b.before then m.upto + b.k end as k
           from (select *, sum(new) over ({order} rows between unbounded preceding and current row) as k from begun) b join many m on m.chrom = b.chrom and m.bin = b.bin
-        ), island as (select chrom, k, min(pos) as s, max(e) as e from counted where n > 0 group by chrom, k),
-        placed as (select v.variant_id, v.chrom, v.pos, v.ref, v.alt, v.n, i.s, i.e from counted v left join island i on i.chrom = v.chrom and i.k = v.k),
-        place as (
-          select 2 * variant_id as id, chrom, s, pos as e from placed where s < pos
-          union all select 2 * variant_id + 1 as id, chrom, pos + n as s, e + 1 as e from placed where pos + n <= e
-        ), part as ({fetched("place", "{genome}", size)})
-        select v.variant_id, v.chrom, coalesce(v.s, v.pos) as pos, concat(coalesce(l.seq, ''), v.ref, coalesce(r.seq, '')) as ref, concat(coalesce(l.seq, ''), v.alt, coalesce(r.seq, '')) as alt
-        from placed v left join part l on l.id = 2 * v.variant_id left join part r on r.id = 2 * v.variant_id + 1""",
+        ), placed as (
+          select variant_id, chrom, pos, ref, alt, n, case when k is not null then min(case when n > 0 then pos end) over (partition by chrom, home) end as s, case when k is not null then max(case when n > 0 then e end) over (partition by chrom, home) end as e
+          from (select *, coalesce(k, -1 - variant_id) as home from counted) a
+        ), side as (
+          select variant_id, chrom, side, case when side = 0 then s else pos + n end as s, case when side = 0 then pos else e + 1 end as e
+          from (select variant_id, chrom, pos, n, s, e, @each(0; 1) as side from placed where s < pos or pos + n <= e) a
+        ), part as (
+          select p.variant_id, @joined(case when p.side = 0 then {bases} else '' end; p.ck) as l, @joined(case when p.side = 1 then {bases} else '' end; p.ck) as r
+          from (select variant_id, chrom, side, s, e, @each(cast(floor(s / {size}) as bigint); cast(floor((e - 1) / {size}) as bigint)) as ck from side where e > s) p
+          join {{genome}} g on g.chrom = p.chrom and g.ck = p.ck group by p.variant_id
+        )
+        select v.variant_id, v.chrom, coalesce(v.s, v.pos) as pos, concat(coalesce(f.l, ''), v.ref, coalesce(f.r, '')) as ref, concat(coalesce(f.l, ''), v.alt, coalesce(f.r, '')) as alt
+        from placed v left join part f on f.variant_id = v.variant_id""",
     )
 
 

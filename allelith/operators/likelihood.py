@@ -143,9 +143,14 @@ def best_helper(window: int = 100, weight: float = 0.0, bin: int = 4096) -> Op:
     """The variant 4 to window - 1 rows away whose genotypes agree best; later rows and, among them, farther ones win ties, of
     earlier ones the nearer. A variant without candidates has helper null.
 
-    Rows are numbered in the variants' order, by bins of ids. Each variant's genotypes are two bit sets of individuals, so that a
+    Rows are numbered in the variants' order, by bins of ids. Each variant's genotypes are three bit sets of individuals, so that a
     pair is compared by counting bits in words of 62 individuals; pairs meet in bins of `window` rows, so no pair farther apart is made.
     With a weight (M7), that many times the helper's own weight is added to the score: `weights` then holds (variant_id, w)."""
+    best = f"select variant_id, @argmax(helper_id; (n0 + 1) * (n1 + 1) * (n2 + 1) * {4 * window} + case when hx > ix then {window} + hx - ix else {window} - (ix - hx) end) as helper_id from same group by variant_id"
+    if weight:
+        best = f"""select variant_id, helper_id from (
+            select s.variant_id, s.helper_id, row_number() over (partition by s.variant_id order by round(ln((n0 + 1) * (n1 + 1) * (n2 + 1)) + {weight} * v.w, 9) desc, case when hx > ix then 0 else 1 end, hx desc) as nth
+            from same s join {{weights}} v on v.variant_id = s.helper_id) t where nth = 1"""
     return Op(
         "best_helper",
         "genotypes" + (" weights" if weight else ""),
@@ -160,11 +165,7 @@ def best_helper(window: int = 100, weight: float = 0.0, bin: int = 4096) -> Op:
         same as (
           select a.ix, a.variant_id, b.ix as hx, b.variant_id as helper_id, cast(sum(bit_count(a.b0 & b.b0)) as bigint) as n0, cast(sum(bit_count(a.b1 & b.b1)) as bigint) as n1, cast(sum(bit_count(a.b2 & b.b2)) as bigint) as n2
           from near a join g b on b.bin = a.bin and b.w = a.w and abs(a.ix - b.ix) between 4 and {window - 1} group by a.ix, a.variant_id, b.ix, b.variant_id
-        ), best as (
-          select variant_id, helper_id from (
-            select s.variant_id, s.helper_id, row_number() over (partition by s.variant_id order by {"(n0 + 1) * (n1 + 1) * (n2 + 1)" if not weight else f"round(ln((n0 + 1) * (n1 + 1) * (n2 + 1)) + {weight} * v.w, 9)"} desc, case when hx > ix then 0 else 1 end, hx desc) as nth
-            from same s{" join {weights} v on v.variant_id = s.helper_id" if weight else ""}) t where nth = 1
-        )
+        ), best as ({best})
         select n.variant_id, b.helper_id from numbered n left join best b on b.variant_id = n.variant_id""",
     )
 

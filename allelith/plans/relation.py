@@ -43,6 +43,7 @@ MACROS = {
         "digits": "translate({0}, 'acgt', '0123')",
         "strip_other": "regexp_replace({0}, '[^0-3]', '0')",
         "array": "array({0})",
+        "argmax": "max_by({0}, {1})",
         "within": "size(array_except({0}, {1})) = 0",
         # the bit of an individual in its word of 62
         "power": "shiftleft(cast(1 as bigint), cast({0} % 62 as int))",
@@ -84,6 +85,7 @@ MACROS = {
         "digits": "translate({0}, 'acgt', '0123')",
         "strip_other": "regexp_replace({0}, '[^0-3]', '0', 'g')",
         "array": "[{0}]",
+        "argmax": "arg_max({0}, {1})",
         "within": "list_has_all({1}, {0})",
         "power": "(cast(1 as bigint) << cast({0} % 62 as int))",
         "numbers": "array_to_string({0}, ',')",
